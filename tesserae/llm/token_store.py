@@ -18,9 +18,9 @@ from __future__ import annotations
 
 import hashlib
 import os
-import re
 import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -37,7 +37,6 @@ FANOUT = 1024
 #: Words kept in a worker's cache.
 CACHE_WORDS = 600_000
 _WINDOW = 16
-_BYTE_CHARS = None
 
 
 def _byte_chars() -> dict[int, str]:
@@ -51,8 +50,8 @@ def _byte_chars() -> dict[int, str]:
 class WordEncoder:
     """Ids of whole texts for tokenizers that drop white space and never join across it.
 
-    Texts are cut at blanks and line breaks, and each word is encoded once while it stays in the cache.
-    Words of letters only, already in normal form, go to the BPE model itself; all others through the whole
+    Texts are cut at blanks and line feeds. Words are kept in a bounded cache. Words of letters only in
+    normal form, and the marks that end them, go to the BPE model itself; all others through the whole
     tokenizer. ``exact`` encodes without any of this.
     """
 
@@ -64,42 +63,49 @@ class WordEncoder:
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.chars = _byte_chars()
         self.cache: dict[str, bytes] = {}
-        self.tail = re.compile(r"([^\W\d_]+)([.,;:!?]*)")
+        self.tails: dict[str, bytes] = {}
 
     def exact(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
-    def _model(self, piece: str) -> list[int]:
-        return [t.id for t in self.tokenizer.model.tokenize("".join(map(self.chars.__getitem__, piece.encode())))]
+    def _model(self, piece: str) -> bytes:
+        if not piece.isascii():
+            piece = "".join(map(self.chars.__getitem__, piece.encode()))
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(piece)]).tobytes()
 
     def _word(self, word: str) -> bytes:
-        m = self.tail.fullmatch(word)
-        if m and (word.isascii() or unicodedata.is_normalized("NFC", word)) and m[1].isalpha() and m[1] == m[1].lower():
-            ids = self._model(m[1]) + (self._model(m[2]) if m[2] else [])
-        else:
-            ids = self.tokenizer.encode(word, add_special_tokens=False).ids
-        return np.array(ids, np.uint32).tobytes()
+        core = word.rstrip(".,;:!?")
+        if core.isalpha() and (core.isascii() or unicodedata.is_normalized("NFC", core)) and core == core.lower():
+            found = self.cache.get(core) or self._model(core)
+            if len(core) == len(word):
+                return found
+            tail = word[len(core) :]
+            if tail not in self.tails:
+                self.tails[tail] = self._model(tail)
+            return found + self.tails[tail]
+        return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
 
     def ids(self, text: str | None) -> np.ndarray:
         text = text or ""
         if any(a in text for a in self.added):
             return self.exact(text)
-        if text.isascii():
-            text = text.lower()
-        words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+        low = text.lower()
+        # lower case comes after normal form: both orders agree where both texts are in normal form
+        if low.isascii() or "\u03a3" not in text and unicodedata.is_normalized("NFC", text) and unicodedata.is_normalized("NFC", low):
+            text = low
+        words = text.replace("\n", " ").split(" ")
         cache = self.cache
+        parts = list(map(cache.get, words))
+        at = -1
         try:
-            return np.frombuffer(b"".join(map(cache.__getitem__, words)), np.uint32)
-        except KeyError:
-            pass
-        own = {}
-        for w in set(words):
-            if w not in cache:
-                own[w] = self._word(w)
-        if len(cache) + len(own) <= CACHE_WORDS:
-            cache.update(own)
-            return np.frombuffer(b"".join(map(cache.__getitem__, words)), np.uint32)
-        return np.frombuffer(b"".join(own[w] if w in own else cache[w] for w in words), np.uint32)
+            while True:
+                at = parts.index(None, at + 1)
+                word = words[at]
+                parts[at] = found = cache.get(word) or self._word(word)
+                if len(cache) < CACHE_WORDS:
+                    cache[word] = found
+        except ValueError:
+            return np.frombuffer(b"".join(parts), np.uint32)
 
 
 @lru_cache(maxsize=2)
@@ -223,42 +229,37 @@ def write_store(docs: DataFrame, tokenizer_path: str, path: str | None = None, e
     return path
 
 
-def _shift_table(n: int) -> list[int]:
-    """crc32 with n zero bytes appended, as the images of its 32 bits."""
-    one = []
+@lru_cache(maxsize=1)
+def _shift_tables() -> np.ndarray:
+    """[p, byte, value]: what 2**p appended zero bytes make of a crc32 that has value in that byte."""
+    step = np.zeros(32, np.uint32)
     for bit in range(32):
         c = 1 << bit
         for _ in range(8):
             c = (c >> 1) ^ (0xEDB88320 if c & 1 else 0)
-        one.append(c)
+        step[bit] = c
 
-    def times(m: list[int], v: int) -> int:
-        out = 0
+    def image(m: np.ndarray, v: np.ndarray) -> np.ndarray:
+        out = np.zeros_like(v)
         for k in range(32):
-            if v >> k & 1:
-                out ^= m[k]
+            out ^= np.where(v >> np.uint32(k) & np.uint32(1), m[k], np.uint32(0)).astype(np.uint32)
         return out
 
-    power, out = one, None
-    while n:
-        if n & 1:
-            out = power if out is None else [times(power, x) for x in out]
-        power = [times(power, x) for x in power]
-        n >>= 1
-    return out or [1 << k for k in range(32)]
-
-
-@lru_cache(maxsize=1 << 14)
-def _shift(n: int) -> tuple[int, ...]:
-    return tuple(_shift_table(n))
-
-
-def crc_join(first: int, second: int, length: int) -> int:
-    """crc32 of two strings end to end, from theirs and the second's length in bytes."""
-    out = second
-    for k, x in enumerate(_shift(length)):
-        if first >> k & 1:
-            out ^= x
+    values, tables = np.arange(256, dtype=np.uint32), []
+    for _ in range(40):
+        tables.append([image(step, values << np.uint32(8 * b)) for b in range(4)])
+        step = image(step, step)
+    return np.array(tables, np.uint32)
+
+
+def crc_shift(crc: np.ndarray, zeros: np.ndarray) -> np.ndarray:
+    """The raw crc32 register after so many appended zero bytes. The crc32 of strings end to end is the
+    exclusive or of each one's crc32, shifted by the bytes that follow it."""
+    tables, out = _shift_tables(), crc.astype(np.uint32)
+    for p in range(int(zeros.max(initial=0)).bit_length()):
+        on = np.flatnonzero(zeros >> p & 1)
+        v, t = out[on], tables[p]
+        out[on] = t[0][v & 255] ^ t[1][v >> np.uint32(8) & np.uint32(255)] ^ t[2][v >> np.uint32(16) & np.uint32(255)] ^ t[3][v >> np.uint32(24)]
     return out
 
 
@@ -289,25 +290,22 @@ def read_store(spark: SparkSession, path: str, id_bytes: int = 2) -> DataFrame:
             for i, n, d, lens, at, leaf in zip(pdf["doc_id"], pdf["n_tokens"], pdf["digests"], pdf["lengths"], pdf["position"], pdf["leaf"]):
                 if _leaf(i, n, d) != leaf:
                     raise ValueError("a recipe does not match its leaf")
-                out += [(at, k, d[16 * k : 16 * k + 16], m) for k, m in enumerate(np.frombuffer(lens, "<i4").tolist())]
-            yield pd.DataFrame(out, columns=["position", "k", "digest", "m"])
+                left = n
+                for k, m in enumerate(np.frombuffer(lens, "<i4").tolist()):
+                    left -= m
+                    out.append((at, d[16 * k : 16 * k + 16], m, left))
+                if left:
+                    raise ValueError("a recipe's chunks do not add up to its tokens")
+            yield pd.DataFrame(out, columns=["position", "digest", "m", "after"])
 
-    uses = recipes.mapInPandas(spread, "position long, k int, digest binary, m int").join(chunks, "digest", "left")
-    uses = uses.withColumn("crc", F.when(F.col("n") == F.col("m"), F.col("crc")).otherwise(F.raise_error(F.lit("a chunk is missing or of another length"))))
-    parts = uses.select("position", "k", F.col("m").cast("long").alias("m"), "crc")
-    lists = parts.groupBy("position").agg(F.array_sort(F.collect_list(F.struct("k", "m", "crc"))).alias("parts"))
+    uses = recipes.mapInPandas(spread, "position long, digest binary, m int, after long").join(chunks, "digest", "left")
+    crc = F.when(F.col("n") == F.col("m"), F.col("crc")).otherwise(F.raise_error(F.lit("a chunk is missing or of another length")))
 
     @F.pandas_udf("long")
-    def joined(lengths: pd.Series, crcs: pd.Series) -> pd.Series:
-        out = []
-        for ms, cs in zip(lengths, crcs):
-            crc = 0
-            for m, c in zip(ms.tolist(), cs.tolist()):
-                crc = crc_join(crc, c, 4 * m)
-            out.append(crc)
-        return pd.Series(out, dtype="int64")
-
-    crcs = lists.select("position", joined("parts.m", "parts.crc").alias("ids_crc32"))
+    def shifted(crc: pd.Series, after: pd.Series) -> pd.Series:
+        return pd.Series(crc_shift(crc.to_numpy(np.int64), after.to_numpy(np.int64)).astype(np.int64))
+
+    crcs = uses.select("position", shifted(crc, F.col("after") * 4).alias("c")).groupBy("position").agg(F.bit_xor("c").alias("ids_crc32"))
     check_manifest(spark, path)
     return recipes.select("position", "doc_id", "start", "n_tokens").join(crcs, "position").select("doc_id", "start", "n_tokens", "ids_crc32")
 
