@@ -184,7 +184,7 @@ def fit(docs: DataFrame, labels: DataFrame, lengths: tuple[int, ...] = LENGTHS,
             for text, label in zip(pdf["text"], pdf["label"]):
                 held[int(label)].append(x := distinct_grams(text, lengths))
                 waiting += len(x)
-                if waiting > 3_000_000:
+                if waiting > 1_000_000:
                     fold()
                     waiting = 0
         fold()
