@@ -131,7 +131,7 @@ def apply_mix(docs: DataFrame, seed: int = 42, weights=WEIGHTS, share: float = S
     taken = mix(docs, seed, weights, share, cap)
     times = taken.groupBy(F.col("doc_id").alias("__i"), F.col("text_hash").alias("__h"), F.col("source").alias("__s")).agg(F.avg(F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(0.0)).alias("__t"))
     times = materialize(times.select("__i", "__h", "__s", F.floor(F.col("__t") + 0.5).cast("int").alias("__t")), "mix-times")
-    match = docs["doc_id"].eqNullSafe(F.col("__i")) & (F.xxhash64(docs["text"]) == F.col("__h")) & docs["source"].eqNullSafe(F.col("__s"))
+    match = docs["doc_id"].eqNullSafe(times["__i"]) & (F.xxhash64(docs["text"]) == times["__h"]) & docs["source"].eqNullSafe(times["__s"])
     out = docs.join(sized(times, 48), match)
     return out.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), F.col("__t")))).select(*docs.columns)
 

@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import arrow_rows
 
@@ -133,7 +134,7 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
                 both = sorted(base + more, key=lambda x: (x[0], (*BASE_KINDS, "entropy").index(x[2]), x[1]))
                 out.append((*(kinds.count(k) for k in BASE_KINDS), len(more), hashlib.sha256(plain.encode()).hexdigest(), ",".join(f"{k}:{a}:{b}" for a, b, k in both)))
             made = pd.DataFrame(out, columns=["n_assign", "n_access", "n_hex", "n_entropy", "base_sha256", "spans"])
-            made.insert(0, "doc_id", pdf["doc_id"].astype("Int64").to_numpy())
+            made.insert(0, "doc_id", pdf["doc_id"])
             yield made
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInPandas(rows, "doc_id long, n_assign long, n_access long, n_hex long, n_entropy long, base_sha256 string, spans string")
+    return docs.select(docs["doc_id"].cast("string").alias("doc_id"), "text").mapInPandas(rows, "doc_id string, n_assign long, n_access long, n_hex long, n_entropy long, base_sha256 string, spans string").withColumn("doc_id", F.col("doc_id").cast("long"))

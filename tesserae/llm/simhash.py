@@ -36,34 +36,48 @@ BLOCK, LEAF = 1 << 17, 16
 _SLICE = 1 << 16
 
 
-def fingerprint(text: str | None, width: int = 3, seed: int = SEED) -> int:
-    """Unsigned fingerprint of a whole text."""
+def fingerprints_of(text: str | None, width: int = 3, seed: int = SEED, tables: int = 1) -> np.ndarray:
+    """Unsigned fingerprints of a whole text. The first is by the hashes themselves, each further one by
+    another bijective mix of them."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return np.zeros(tables, np.uint64)
     joined, n = b" ".join(words), max(1, len(words) - width + 1)
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(lengths + 1) - 1
     starts = ends - lengths
     last = ends[min(width, len(words)) - 1 :]
-    ones = np.zeros(BITS, np.int64)
+    ones = np.zeros((tables, BITS), np.int64)
     digest = xxhash.xxh64_intdigest
     for k in range(0, n, _SLICE):
         a, b = starts[k : min(k + _SLICE, n)].tolist(), last[k : k + _SLICE].tolist()
         hashes = np.fromiter((digest(joined[i:j], seed) for i, j in zip(a, b)), np.uint64, len(a))
-        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > n, bitorder="little").view(np.uint64)[0])
+        for t in range(tables):
+            h = hashes
+            if t:
+                h = h + np.uint64(t * 0x9E3779B97F4A7C15 % 2**64)
+                h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+                h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+                h = h ^ (h >> np.uint64(31))
+            ones[t] += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return np.packbits(ones * 2 > n, axis=1, bitorder="little").view(np.uint64)[:, 0]
+
+
+def fingerprint(text: str | None, width: int = 3, seed: int = SEED) -> int:
+    return int(fingerprints_of(text, width, seed)[0])
 
 
-def fingerprints(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text_hash, fp: signed long) of every row; text_hash tells rows of one id apart."""
+def fingerprints(docs: DataFrame, width: int = 3, tables: int = 1) -> DataFrame:
+    """(doc_id, text_hash, fp: signed long, fps: all tables' fingerprints) of every row; text_hash tells rows of
+    one id apart."""
     arrow_rows(docs.sparkSession)
 
-    @F.pandas_udf("long")
-    def fp(texts: pd.Series) -> pd.Series:
-        return pd.Series(np.array([fingerprint(t, width) for t in texts], np.uint64).view(np.int64))
+    @F.pandas_udf("array<long>")
+    def prints(texts: pd.Series) -> pd.Series:
+        return pd.Series([fingerprints_of(t, width, tables=tables).view(np.int64) for t in texts], dtype=object)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), fp(text_col).alias("fp"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), prints("text").alias("fps"))
+    return rows.select("doc_id", "text_hash", F.col("fps")[0].alias("fp"), "fps")
 
 
 def _links(keys: np.ndarray, split: int, radius: int) -> np.ndarray:
@@ -149,67 +163,87 @@ def _forest(links: np.ndarray, n: int) -> np.ndarray:
 
 
 def trie_links(fps: DataFrame, radius: int = 3, node_size: int = NODE_SIZE, min_depth: int = MIN_DEPTH) -> DataFrame:
-    """Links (a, b) between distinct fingerprints (column fp) that connect just the pairs at ``radius`` or
-    fewer differing bits: every such pair is in one component of the links, and no link is longer."""
+    """Links (tab, a, b) between distinct fingerprints (columns tab, fp) that connect just the pairs of one table
+    at ``radius`` or fewer differing bits: every such pair is in one component of the links, and no component
+    joins others."""
     ones = [F.sum(F.shiftrightunsigned("fp", i).bitwiseAND(F.lit(1))).alias(f"b{i}") for i in range(BITS)]
-    counts = fps.agg(F.count(F.lit(1)).alias("n"), *ones).first()
-    n = counts["n"]
+    counts = fps.agg(F.count(F.lit(1)).alias("n"), F.max("tab").alias("t"), *ones).first()
+    n, tables = counts["n"], 1 + (counts["t"] or 0)
     order = sorted(range(BITS), key=lambda i: (abs((counts[f"b{i}"] or 0) * 2 - n), i))
-    depth = min(16, max(min_depth, math.ceil(math.log2(max(1, n / node_size)))))
+    depth = min(16, max(min_depth, math.ceil(math.log2(max(1, n / tables / node_size)))))
     prefix = F.lit(0)
     for k, bit in enumerate(order[:depth]):
         prefix = prefix.bitwiseOR(F.shiftleft(F.shiftrightunsigned("fp", bit).bitwiseAND(F.lit(1)).cast("int"), depth - 1 - k))
     masks = [sum(1 << i for i in c) for r in range(min(radius, depth) + 1) for c in combinations(range(depth), r)]
     other = F.col("prefix").bitwiseXOR(F.col("mask"))
     dealt = (
-        fps.select("fp", prefix.alias("prefix"))
+        fps.select("tab", "fp", prefix.alias("prefix"))
         .withColumn("mask", F.explode(F.array(*map(F.lit, masks))))
-        .select("fp", F.least("prefix", other).alias("lo"), F.greatest("prefix", other).alias("hi"), (F.col("prefix") > other).alias("second"))
+        .select("tab", "fp", F.least("prefix", other).alias("lo"), F.greatest("prefix", other).alias("hi"), (F.col("prefix") > other).alias("second"))
     )
 
     def join(pdf: pd.DataFrame) -> pd.DataFrame:
         fp, second = pdf["fp"].to_numpy(np.int64).view(np.uint64), pdf["second"].to_numpy(bool)
         both = second.any() and not second.all()
         if pdf["lo"].iat[0] != pdf["hi"].iat[0] and not both:
-            return pd.DataFrame({"a": np.empty(0, np.int64), "b": np.empty(0, np.int64)})
+            return pd.DataFrame({"tab": [], "a": [], "b": []}, dtype="int64")
         key = np.zeros(len(fp), np.uint64)
         for k, bit in enumerate(order):
             key |= ((fp >> np.uint64(bit)) & np.uint64(1)) << np.uint64(BITS - 1 - k)
         at = np.lexsort((key, second))
         links = _links(key[at], int((~second).sum()) if both else 0, radius)
         signed = fp[at].view(np.int64)
-        return pd.DataFrame({"a": signed[links[:, 0]], "b": signed[links[:, 1]]})
-
-    return dealt.groupBy("lo", "hi").applyInPandas(join, "a long, b long")
-
-
-def components(prints: DataFrame, radius: int = 3) -> DataFrame:
-    """(fp, component_id): of each distinct fingerprint the smallest doc_id that links can reach
-    (null if all of its component's ids are null)."""
+        return pd.DataFrame({"tab": pdf["tab"].iat[0], "a": signed[links[:, 0]], "b": signed[links[:, 1]]})
+
+    return dealt.groupBy("tab", "lo", "hi").applyInPandas(join, "tab int, a long, b long")
+
+
+def _graph(prints: DataFrame, radius: int, tables: int) -> DataFrame:
+    """Links (a, b) between first fingerprints: of rows whose fingerprints agree in a table, or are linked there."""
+    if tables == 1:
+        flat = prints.select(F.lit(0).alias("tab"), "fp").distinct()
+        return trie_links(materialize(flat, "simhash-flat"), radius).select("a", "b")
+    flat = prints.select(F.col("fp").alias("own"), F.posexplode("fps").alias("tab", "fp")).distinct()
+    flat = materialize(flat, "simhash-flat")
+    stands = materialize(flat.groupBy("tab", "fp").agg(F.min("own").alias("rep"), F.max("own").alias("top")), "simhash-stands")
+    shared = flat.join(stands.where("rep < top"), ["tab", "fp"]).where("own != rep").select(F.col("own").alias("a"), F.col("rep").alias("b"))
+    # many tables already deal many groups: a shallower cut copies less
+    links = materialize(trie_links(stands, radius, min_depth=MIN_DEPTH - 2), "simhash-links")
+    end = lambda name: stands.select("tab", F.col("fp").alias(name), F.col("rep").alias(f"{name}_rep"))
+    near = links.join(end("a"), ["tab", "a"]).join(end("b"), ["tab", "b"]).select("a_rep", "b_rep")
+    return shared.union(near)
+
+
+def components(prints: DataFrame, radius: int = 3, tables: int = 1) -> DataFrame:
+    """(fp, component_id): of each distinct (first) fingerprint the smallest doc_id that links can reach (null if
+    all of its component's ids are null)."""
     own = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-fp")
-    roots = materialize(connected_components(trie_links(own, radius)), "simhash-roots")
+    roots = materialize(connected_components(_graph(prints, radius, tables)), "simhash-roots")
     tied = own.join(roots.withColumnRenamed("node", "fp"), "fp")
     low = tied.groupBy("root").agg(F.min("least").alias("component_id"))
-    linked = tied.join(low, "root").select("fp", "component_id")
-    return linked.union(own.join(roots.select(F.col("node").alias("fp")), "fp", "left_anti").select("fp", F.col("least").alias("component_id")))
+    linked = tied.join(low, "root").select("fp", "component_id", F.col("root").alias("component"))
+    alone = own.join(roots.select(F.col("node").alias("fp")), "fp", "left_anti")
+    return linked.union(alone.select("fp", F.col("least").alias("component_id"), F.col("fp").alias("component")))
 
 
-def simhash_classes(docs: DataFrame, width: int = 3, radius: int = 3) -> DataFrame:
-    """One row per row of docs (doc_id, text): doc_id, text_hash, fp, component_id.
+def simhash_classes(docs: DataFrame, width: int = 3, radius: int = 3, tables: int = 1) -> DataFrame:
+    """One row per row of docs (doc_id, text): doc_id, text_hash, fp, component_id, component.
 
+    With several tables each text has as many independent fingerprints, and one that is within the radius is
+    enough for a link: similar texts whose first fingerprints happen to lie further apart are found too.
     Null and empty texts have fingerprint zero. Repeated rows and ids are kept; rows without an id take
     part and only lack an id. An empty table gives an empty table; other columns are ignored.
     """
-    prints = materialize(fingerprints(docs, width), "simhash-docs")
-    return prints.join(components(prints, radius), "fp").select("doc_id", "text_hash", "fp", "component_id")
+    prints = materialize(fingerprints(docs, width, tables), "simhash-docs")
+    return prints.drop("fps").join(components(prints, radius, tables), "fp").select("doc_id", "text_hash", "fp", "component_id", "component")
 
 
-def simhash_dedup(docs: DataFrame, width: int = 3, radius: int = 3) -> DataFrame:
+def simhash_dedup(docs: DataFrame, width: int = 3, radius: int = 3, tables: int = 1) -> DataFrame:
     """docs with one row of each component: the one of the smallest doc_id (of rows that repeat that id,
     the least text hash; of wholly equal rows, one). All columns of docs are kept."""
-    prints = materialize(simhash_classes(docs, width, radius), "simhash-classes")
+    prints = materialize(simhash_classes(docs, width, radius, tables), "simhash-classes")
     rank = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"), F.col("text_hash").alias("h"))
-    kept = prints.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("f")).agg(F.min(rank).alias("r"))
+    kept = prints.groupBy("component").agg(F.min(rank).alias("r"))
     kept = kept.select(F.col("r.i").alias("__i"), F.col("r.h").alias("__h"), F.lit(True).alias("__keep"))
     rows = prints.groupBy(F.col("doc_id").alias("__i"), F.col("text_hash").alias("__h")).agg(F.count(F.lit(1)).alias("__n"))
     fate = materialize(_fate(rows, kept), "simhash-fate")

@@ -17,11 +17,10 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import arrow_rows
 
-#: Texts are encoded in one call; so many characters of a batch's texts are attributed at a time.
-
 
 @lru_cache(maxsize=2)
 def encoding(path: str):
@@ -77,14 +76,14 @@ def section_tokens(docs: DataFrame, tokenizer_path: str, sections=line_sections)
         enc, size = encoding(tokenizer_path)
         for pdf in batches:
             parts = []
-            for doc_id, text in zip(pdf["doc_id"].astype("Int64"), pdf["text"]):
+            for doc_id, text in zip(pdf["doc_id"], pdf["text"]):
                 text = text or ""
                 lengths = size[enc.encode_ordinary(text)] if text else np.empty(0, np.int64)
                 starts = sections(text)
                 n, crossing, ends = attribute(text.encode(), lengths, starts)
                 k = len(starts)
-                parts.append(pd.DataFrame({"doc_id": pd.array([doc_id] * k, "Int64"), "section": np.arange(k), "start_char": starts, "end_char": ends, "n_tokens": n, "n_crossing": crossing, "doc_tokens": np.full(k, len(lengths))}))
+                parts.append(pd.DataFrame({"doc_id": [doc_id] * k, "section": np.arange(k), "start_char": starts, "end_char": ends, "n_tokens": n, "n_crossing": crossing, "doc_tokens": np.full(k, len(lengths))}))
             if parts:
                 yield pd.concat(parts)
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInPandas(rows, "doc_id long, section long, start_char long, end_char long, n_tokens long, n_crossing long, doc_tokens long")
+    return docs.select(docs["doc_id"].cast("string").alias("doc_id"), "text").mapInPandas(rows, "doc_id string, section long, start_char long, end_char long, n_tokens long, n_crossing long, doc_tokens long").withColumn("doc_id", F.col("doc_id").cast("long"))

@@ -135,7 +135,7 @@ def cuts(ids: np.ndarray) -> list[int]:
 
 
 def _leaf(doc_id, n: int, digests: bytes) -> bytes:
-    return hashlib.sha256(f"{'' if doc_id is None or pd.isna(doc_id) else int(doc_id)}:{n}:".encode() + digests).digest()
+    return hashlib.sha256(f"{doc_id or ''}:{n}:".encode() + digests).digest()
 
 
 def _merkle(nodes: DataFrame, spark: SparkSession) -> DataFrame:
@@ -204,9 +204,9 @@ def write_store(docs: DataFrame, tokenizer_path: str, path: str | None = None, e
                             sent.add(digest)
                         rows.append((None, None, None, None, digest, payload))
                 rows.append((doc_id, len(ids), b"".join(digests), np.array(lengths, "<i4").tobytes(), None, None))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_tokens", "digests", "lengths", "digest", "payload"]).astype({"doc_id": "Int64", "n_tokens": "Int64"})
+            yield pd.DataFrame(rows, columns=["doc_id", "n_tokens", "digests", "lengths", "digest", "payload"]).astype({"n_tokens": "Int64"})
 
-    raw = materialize(docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(cut, "doc_id long, n_tokens long, digests binary, lengths binary, digest binary, payload binary"), "store-raw")
+    raw = materialize(docs.select(F.col("doc_id").cast("string"), "text").mapInPandas(cut, "doc_id string, n_tokens long, digests binary, lengths binary, digest binary, payload binary"), "store-raw")
     # which copy of a chunk stays: the first, by file and row
     place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
     copies = raw.where("digest IS NOT NULL").select("digest", place.alias("place"))
@@ -216,14 +216,15 @@ def write_store(docs: DataFrame, tokenizer_path: str, path: str | None = None, e
     chunks = chunks.join(twice, "digest", "left").where("own IS NULL OR own = place")
     chunks.select("digest", (F.length("payload") / id_bytes).cast("int").alias("n"), "payload").write.parquet(f"{path}/chunks")
 
-    docs_in = raw.where("digest IS NULL").select("doc_id", "n_tokens", "digests", "lengths")
+    docs_in = raw.where("digest IS NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "n_tokens", "digests", "lengths")
     recipes = prefix_sums(docs_in, "n_tokens", [F.col("doc_id").asc_nulls_first(), F.col("digests")], "store-recipes")
 
     def leaves(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             yield pdf.assign(leaf=[_leaf(i, n, d) for i, n, d in zip(pdf["doc_id"], pdf["n_tokens"], pdf["digests"])])
 
-    recipes.mapInPandas(leaves, "doc_id long, n_tokens long, digests binary, lengths binary, start long, position long, leaf binary").write.parquet(f"{path}/recipes")
+    named = recipes.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(leaves, "doc_id string, n_tokens long, digests binary, lengths binary, start long, position long, leaf binary")
+    named.withColumn("doc_id", F.col("doc_id").cast("long")).write.parquet(f"{path}/recipes")
     nodes = spark.read.parquet(f"{path}/recipes").select("position", F.col("leaf").alias("hash"))
     _merkle(nodes, spark).where("level > 0").write.parquet(f"{path}/manifest")
     return path
@@ -298,7 +299,7 @@ def read_store(spark: SparkSession, path: str, id_bytes: int = 2) -> DataFrame:
                     raise ValueError("a recipe's chunks do not add up to its tokens")
             yield pd.DataFrame(out, columns=["position", "digest", "m", "after"])
 
-    uses = recipes.mapInPandas(spread, "position long, digest binary, m int, after long").join(chunks, "digest", "left")
+    uses = recipes.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(spread, "position long, digest binary, m int, after long").join(chunks, "digest", "left")
     crc = F.when(F.col("n") == F.col("m"), F.col("crc")).otherwise(F.raise_error(F.lit("a chunk is missing or of another length")))
 
     @F.pandas_udf("long")

@@ -16,6 +16,7 @@ from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import arrow_rows
 
@@ -121,10 +122,10 @@ def judge_urls(pages: DataFrame, rules: Iterable[Rule] = (*SITE_RULES, *PATTERN_
         index = RuleIndex(rules)
         for pdf in batches:
             made = pd.DataFrame([index.judge(u, default) for u in pdf["url"]], columns=["host", "path", "rule", "pattern", "verdict"], dtype=object)
-            made.insert(0, "page_id", pdf["page_id"].astype("Int64").to_numpy())
+            made.insert(0, "page_id", pdf["page_id"])
             yield made
 
-    return pages.select(pages["page_id"].cast("long").alias("page_id"), "url").mapInPandas(rows, "page_id long, host string, path string, rule string, pattern string, verdict string")
+    return pages.select(pages["page_id"].cast("string").alias("page_id"), "url").mapInPandas(rows, "page_id string, host string, path string, rule string, pattern string, verdict string").withColumn("page_id", F.col("page_id").cast("long"))
 
 
 SQL_URLS = r"""

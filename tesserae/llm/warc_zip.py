@@ -151,7 +151,7 @@ def warc_record(page_id: int | None, url: str | None, payload: bytes, refers_to:
 
 
 def parse_record(raw: bytes) -> dict:
-    """Fields of one record: page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload."""
+    """Fields of one record: page_id (as text), url, payload_bytes, payload_digest, record_type, refers_to, payload."""
     head, _, rest = raw.partition(b"\r\n\r\n")
     lines = head.decode().split("\r\n")
     if not lines[0].startswith("WARC/"):
@@ -165,8 +165,8 @@ def parse_record(raw: bytes) -> dict:
     if not revisit and (hashlib.sha1(payload).hexdigest() != digest or len(payload) != sizes[0]):
         raise ValueError("a payload does not match its digest")
     return {
-        "page_id": int(fields["x-page-id"]) if fields["x-page-id"] else None, "url": fields["warc-target-uri"], "payload_bytes": sizes[0], "payload_digest": digest,
-        "record_type": fields["warc-type"], "refers_to": int(fields["x-refers-to-page"]) if revisit else None, "payload": None if revisit else payload,
+        "page_id": fields["x-page-id"] or None, "url": fields["warc-target-uri"], "payload_bytes": sizes[0], "payload_digest": digest,
+        "record_type": fields["warc-type"], "refers_to": fields["x-refers-to-page"] if revisit else None, "payload": None if revisit else payload,
     }
 
 
@@ -203,8 +203,8 @@ def write_packages(pages: DataFrame, path: str, package_bytes: int = PACKAGE_BYT
             return made
 
         for pdf in batches:
-            for page_id, url, html, refers in zip(pdf["page_id"].astype("Int64"), pdf["url"], pdf["html"], pdf["refers_to"].astype("Int64")):
-                page_id, refers = (None if x is pd.NA else int(x) for x in (page_id, refers))
+            for page_id, url, html, refers in zip(pdf["page_id"], pdf["url"], pdf["html"], pdf["refers_to"]):
+                page_id, refers = (None if x is None else int(x) for x in (page_id, refers))
                 packed = gzip.compress(warc_record(page_id, url, (html or "").encode(), refers), 3, mtime=0)
                 index.append(json.dumps({"page_id": page_id, "offset": body.tell(), "length": len(packed)}) + "\n")
                 body.write(packed)
@@ -214,7 +214,7 @@ def write_packages(pages: DataFrame, path: str, package_bytes: int = PACKAGE_BYT
         if n:
             yield close()
 
-    return materialize(pages.select("page_id", "url", "html", "refers_to").mapInPandas(rows, "package string, n long"), "warc-packages")
+    return materialize(pages.select(F.col("page_id").cast("string"), "url", "html", F.col("refers_to").cast("string")).mapInPandas(rows, "package string, n long"), "warc-packages")
 
 
 def read_packages(spark: SparkSession, packages: DataFrame, path: str) -> DataFrame:
@@ -237,10 +237,11 @@ def read_packages(spark: SparkSession, packages: DataFrame, path: str) -> DataFr
                             raise ValueError("an index entry points outside the archive")
                         record = parse_record(gzip.decompress(z.read(archive[0] + at["offset"], at["length"])))
                         out.append([record[k] for k in names])
-                yield pd.DataFrame(out, columns=names).astype({"page_id": "Int64", "refers_to": "Int64"})
+                yield pd.DataFrame(out, columns=names)
 
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return packages.select("package").repartition(parts, "package").mapInPandas(rows, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    out = packages.select("package").repartition(parts, "package").mapInPandas(rows, "page_id string, url string, payload_bytes long, payload_digest string, record_type string, refers_to string")
+    return out.withColumns({c: F.col(c).cast("long") for c in ("page_id", "refers_to")})
 
 
 def archive_round_trip(pages: DataFrame, zip64: bool = False) -> DataFrame:
