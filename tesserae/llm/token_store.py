@@ -37,6 +37,8 @@ FANOUT = 1024
 #: Words kept in a worker's cache.
 CACHE_WORDS = 600_000
 _WINDOW = 16
+#: Marks that are a piece of their own after a word (an apostrophe may begin a contraction).
+_MARKS = ".,;:!?*#$%&()[]{}+-/=_~^@|<>\"\\`"
 
 
 def _byte_chars() -> dict[int, str]:
@@ -74,7 +76,7 @@ class WordEncoder:
         return array("I", [t.id for t in self.tokenizer.model.tokenize(piece)]).tobytes()
 
     def _word(self, word: str) -> bytes:
-        core = word.rstrip(".,;:!?")
+        core = word.rstrip(_MARKS)
         if core.isalpha() and (core.isascii() or unicodedata.is_normalized("NFC", core)) and core == core.lower():
             found = self.cache.get(core) or self._model(core)
             if len(core) == len(word):
