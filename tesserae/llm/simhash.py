@@ -10,7 +10,14 @@ the fingerprints first). Its top ``depth`` levels are cut into node pairs whose
 most ``radius`` bits; each pair is one task, in which the pair's subtrees are traversed together. The
 differing bits add up on the way down, and a pair is left as soon as they exceed the radius. A task
 returns a spanning forest of the links that it found, so a dense group makes no more rows than it has
-fingerprints.
+fingerprints; a node pair whose keys are already in one component is left too, so a dense group does not
+cost all of its pairs.
+
+``near_dedup`` looks for a similarity of shingles instead of a radius. One fingerprint is too short for
+that, so a text has ``TABLES`` of them. Each of the first ``TRIES`` is the key of one trie, whose error
+budget counts only its top ``TOP`` bits; the differing bits of all fingerprints together estimate the
+similarity of the pairs it finds. Only texts of like length can be similar, so each trie holds one window
+of lengths.
 """
 
 from __future__ import annotations
@@ -33,7 +40,11 @@ SEED, BITS = 42, 64
 NODE_SIZE, MIN_DEPTH = 1 << 17, 6
 #: Rows of a block of node pairs; leaves of so few pairs are compared directly.
 BLOCK, LEAF = 1 << 17, 16
-_SLICE = 1 << 16
+#: Fingerprints of a text in ``near_dedup``, how many of them key a trie, the bits of a key that count, and their radius.
+TABLES, TRIES, TOP, RADIUS = 16, 8, 24, 3
+#: Hashes counted at once: ``_RUN`` bits add up in a byte.
+_RUN = 255
+_SLICE = _RUN << 6
 
 
 def fingerprints_of(text: str | None, width: int = 3, seed: int = SEED, tables: int = 1) -> np.ndarray:
@@ -48,18 +59,20 @@ def fingerprints_of(text: str | None, width: int = 3, seed: int = SEED, tables:
     starts = ends - lengths
     last = ends[min(width, len(words)) - 1 :]
     ones = np.zeros((tables, BITS), np.int64)
+    steps = np.array([t * 0x9E3779B97F4A7C15 % 2**64 for t in range(tables)], np.uint64)[:, None]
     digest = xxhash.xxh64_intdigest
     for k in range(0, n, _SLICE):
         a, b = starts[k : min(k + _SLICE, n)].tolist(), last[k : k + _SLICE].tolist()
-        hashes = np.fromiter((digest(joined[i:j], seed) for i, j in zip(a, b)), np.uint64, len(a))
-        for t in range(tables):
-            h = hashes
-            if t:
-                h = h + np.uint64(t * 0x9E3779B97F4A7C15 % 2**64)
-                h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-                h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-                h = h ^ (h >> np.uint64(31))
-            ones[t] += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        runs = -(-len(a) // _RUN)
+        h = np.zeros((tables, runs * min(_RUN, len(a))), np.uint64)
+        h[0, : len(a)] = hashes = np.fromiter((digest(joined[i:j], seed) for i, j in zip(a, b)), np.uint64, len(a))
+        if tables > 1:
+            mixed = hashes + steps[1:]
+            mixed = (mixed ^ (mixed >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            mixed = (mixed ^ (mixed >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            h[1:, : len(a)] = mixed ^ (mixed >> np.uint64(31))
+        bits = np.unpackbits(h.view(np.uint8).reshape(-1), bitorder="little").reshape(tables, runs, -1, BITS)
+        ones += bits.sum(2, dtype=np.uint8).sum(1, dtype=np.int64)
     return np.packbits(ones * 2 > n, axis=1, bitorder="little").view(np.uint64)[:, 0]
 
 
@@ -67,24 +80,33 @@ def fingerprint(text: str | None, width: int = 3, seed: int = SEED) -> int:
     return int(fingerprints_of(text, width, seed)[0])
 
 
+def n_shingles(text: str | None, width: int) -> int:
+    words = len((text or "").encode("utf-8", "surrogatepass").split())
+    return max(min(words, 1), words - width + 1)
+
+
 def fingerprints(docs: DataFrame, width: int = 3, tables: int = 1) -> DataFrame:
-    """(doc_id, text_hash, fp: signed long, fps: all tables' fingerprints) of every row; text_hash tells rows of
-    one id apart."""
+    """(doc_id, text_hash, n: number of shingles, fp: signed long, fps: all tables' fingerprints) of every row;
+    text_hash tells rows of one id apart."""
     arrow_rows(docs.sparkSession)
 
     @F.pandas_udf("array<long>")
     def prints(texts: pd.Series) -> pd.Series:
-        return pd.Series([fingerprints_of(t, width, tables=tables).view(np.int64) for t in texts], dtype=object)
+        return pd.Series([[n_shingles(t, width), *fingerprints_of(t, width, tables=tables).view(np.int64).tolist()] for t in texts], dtype=object)
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), prints("text").alias("fps"))
-    return rows.select("doc_id", "text_hash", F.col("fps")[0].alias("fp"), "fps")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), prints("text").alias("p"))
+    return rows.select("doc_id", "text_hash", F.col("p")[0].alias("n"), F.col("p")[1].alias("fp"), F.slice("p", 2, tables).alias("fps"))
 
 
-def _links(keys: np.ndarray, split: int, radius: int) -> np.ndarray:
+def _links(keys: np.ndarray, split: int, radius: int, top: int = BITS, wide: np.ndarray | None = None, limit: int = 0) -> np.ndarray:
     """Star links (i, j) among keys (sorted uint64; the first ``split`` are node a, the rest node b;
-    split 0: one node joined with itself)."""
+    split 0: one node joined with itself). Of the keys only the ``top`` bits count. With ``wide``, rows of
+    further fingerprints, a link also needs at most ``limit`` differing bits among all of those."""
     n = len(keys)
     zeros: dict[int, np.ndarray] = {}
+    root, run = np.arange(n), np.arange(1, n + 1)
+    found: list[np.ndarray] = []
+    fresh = 0
 
     def below(bit: int) -> np.ndarray:
         """At i: how many of the first i keys have a zero there."""
@@ -92,25 +114,46 @@ def _links(keys: np.ndarray, split: int, radius: int) -> np.ndarray:
             zeros[bit] = np.concatenate([[0], np.cumsum((keys >> np.uint64(bit)) & np.uint64(1) == 0)]).astype(np.int32)
         return zeros[bit]
 
-    found: list[np.ndarray] = []
-    total = 0
+    def test(i: np.ndarray, j: np.ndarray) -> None:
+        """Adds those of the pairs that are linked, but not if they are in one component already."""
+        nonlocal fresh
+        at = np.flatnonzero((i < j) & (np.bitwise_count((keys[i] ^ keys[j]) >> np.uint64(BITS - top)) <= radius) & (root[i] != root[j]))
+        for k in range(0, len(at), BLOCK):
+            a, b = i[at[k : k + BLOCK]], j[at[k : k + BLOCK]]
+            if wide is not None:
+                near = np.bitwise_count(wide[a] ^ wide[b]).sum(1, dtype=np.int32) <= limit
+                a, b = a[near], b[near]
+            if len(a):
+                found.append(np.stack([a, b], 1))
+                fresh += len(a)
+        if fresh > max(4096, n >> 3):
+            settle()
+
+    def settle() -> None:
+        """Folds the links into a forest; run[i] is where the keys of i's component that follow i on end."""
+        nonlocal fresh, found
+        fresh = 0
+        if found:
+            found = [_forest(np.concatenate(found), n)]
+            root[found[0][:, 0]] = found[0][:, 1]
+            root[found[0][:, 1]] = found[0][:, 1]
+            cuts = np.flatnonzero(root[1:] != root[:-1]) + 1
+            run[:] = np.append(cuts, n)[np.searchsorted(cuts, np.arange(n), "right")]
+
+    for step in (1, 2, 3):
+        test(np.arange(max(0, n - step)), np.arange(step, max(step, n)))
+    settle()
     stack = [(BITS - 1, np.array([[0, split, split, n, 0] if split else [0, n, 0, n, 0]], np.int32))]
     while stack:
         bit, block = stack.pop()
-        wide = (block[:, 1] - block[:, 0]).astype(np.int64) * (block[:, 3] - block[:, 2])
-        small = (wide <= LEAF) if bit >= 0 else np.ones(len(block), bool)
+        a0, a1, b0, b1, _ = block.T
+        block = block[(root[a0] != root[b0]) | (run[a0] < a1) | (run[b0] < b1)]
+        wide_of = (block[:, 1] - block[:, 0]).astype(np.int64) * (block[:, 3] - block[:, 2])
+        small = (wide_of <= LEAF) if bit >= 0 else np.ones(len(block), bool)
         if small.any():
-            leaf, sizes = block[small], wide[small]
+            leaf, sizes = block[small], wide_of[small]
             for part in _parts(sizes):
-                pairs = leaf[part]
-                i, j = _products(pairs)
-                near = (i < j) & (np.bitwise_count(keys[i] ^ keys[j]) <= radius)
-                if near.any():
-                    found.append(np.stack([i[near], j[near]], 1))
-                    total += int(near.sum())
-                    if total > 1 << 20:
-                        found = [_forest(np.concatenate(found), n)]
-                        total = len(found[0])
+                test(*_products(leaf[part]))
             block = block[~small]
         if not len(block):
             continue
@@ -118,13 +161,15 @@ def _links(keys: np.ndarray, split: int, radius: int) -> np.ndarray:
         a0, a1, b0, b1, d = block.T
         am, bm = a0 + z[a1] - z[a0], b0 + z[b1] - z[b0]
         own = (a0 == b0) & (a1 == b1)
-        children = [np.stack([a0, am, b0, bm, d], 1), np.stack([am, a1, bm, b1, d], 1), np.stack([a0, am, bm, b1, d + 1], 1)]
-        children.append(np.stack([am, a1, b0, bm, d + 1], 1)[~own])
+        more = d + (bit >= BITS - top)
+        children = [np.stack([a0, am, b0, bm, d], 1), np.stack([am, a1, bm, b1, d], 1), np.stack([a0, am, bm, b1, more], 1)]
+        children.append(np.stack([am, a1, b0, bm, more], 1)[~own])
         block = np.concatenate(children)
         block = block[(block[:, 0] < block[:, 1]) & (block[:, 2] < block[:, 3]) & (block[:, 4] <= radius)]
         for k in range(0, len(block), BLOCK):
             stack.append((bit - 1, block[k : k + BLOCK]))
-    return _forest(np.concatenate(found), n) if found else np.empty((0, 2), np.int64)
+    settle()
+    return found[0] if found else np.empty((0, 2), np.int64)
 
 
 def _parts(sizes: np.ndarray) -> Iterator[slice]:
@@ -163,62 +208,95 @@ def _forest(links: np.ndarray, n: int) -> np.ndarray:
 
 
 def trie_links(fps: DataFrame, radius: int = 3, node_size: int = NODE_SIZE, min_depth: int = MIN_DEPTH) -> DataFrame:
-    """Links (tab, a, b) between distinct fingerprints (columns tab, fp) that connect just the pairs of one table
-    at ``radius`` or fewer differing bits: every such pair is in one component of the links, and no component
-    joins others."""
+    """Links (a, b) between distinct fingerprints (column fp) that connect just the pairs at ``radius`` or fewer
+    differing bits: every such pair is in one component of the links, and no component joins others."""
     ones = [F.sum(F.shiftrightunsigned("fp", i).bitwiseAND(F.lit(1))).alias(f"b{i}") for i in range(BITS)]
-    counts = fps.agg(F.count(F.lit(1)).alias("n"), F.max("tab").alias("t"), *ones).first()
-    n, tables = counts["n"], 1 + (counts["t"] or 0)
+    counts = fps.agg(F.count(F.lit(1)).alias("n"), *ones).first()
+    n = counts["n"]
     order = sorted(range(BITS), key=lambda i: (abs((counts[f"b{i}"] or 0) * 2 - n), i))
-    depth = min(16, max(min_depth, math.ceil(math.log2(max(1, n / tables / node_size)))))
+    depth = min(16, max(min_depth, math.ceil(math.log2(max(1, n / node_size)))))
     prefix = F.lit(0)
     for k, bit in enumerate(order[:depth]):
         prefix = prefix.bitwiseOR(F.shiftleft(F.shiftrightunsigned("fp", bit).bitwiseAND(F.lit(1)).cast("int"), depth - 1 - k))
     masks = [sum(1 << i for i in c) for r in range(min(radius, depth) + 1) for c in combinations(range(depth), r)]
-    other = F.col("prefix").bitwiseXOR(F.col("mask"))
-    dealt = (
-        fps.select("tab", "fp", prefix.alias("prefix"))
-        .withColumn("mask", F.explode(F.array(*map(F.lit, masks))))
-        .select("tab", "fp", F.least("prefix", other).alias("lo"), F.greatest("prefix", other).alias("hi"), (F.col("prefix") > other).alias("second"))
-    )
+    dealt = _dealt(fps.select("fp", prefix.alias("prefix"), F.explode(F.array(*map(F.lit, masks))).alias("mask")))
 
     def join(pdf: pd.DataFrame) -> pd.DataFrame:
         fp, second = pdf["fp"].to_numpy(np.int64).view(np.uint64), pdf["second"].to_numpy(bool)
-        both = second.any() and not second.all()
-        if pdf["lo"].iat[0] != pdf["hi"].iat[0] and not both:
-            return pd.DataFrame({"tab": [], "a": [], "b": []}, dtype="int64")
         key = np.zeros(len(fp), np.uint64)
         for k, bit in enumerate(order):
             key |= ((fp >> np.uint64(bit)) & np.uint64(1)) << np.uint64(BITS - 1 - k)
         at = np.lexsort((key, second))
-        links = _links(key[at], int((~second).sum()) if both else 0, radius)
-        signed = fp[at].view(np.int64)
-        return pd.DataFrame({"tab": pdf["tab"].iat[0], "a": signed[links[:, 0]], "b": signed[links[:, 1]]})
-
-    return dealt.groupBy("tab", "lo", "hi").applyInPandas(join, "tab int, a long, b long")
-
-
-def _graph(prints: DataFrame, radius: int, tables: int) -> DataFrame:
-    """Links (a, b) between first fingerprints: of rows whose fingerprints agree in a table, or are linked there."""
-    if tables == 1:
-        flat = prints.select(F.lit(0).alias("tab"), "fp").distinct()
-        return trie_links(materialize(flat, "simhash-flat"), radius).select("a", "b")
-    flat = prints.select(F.col("fp").alias("own"), F.posexplode("fps").alias("tab", "fp")).distinct()
-    flat = materialize(flat, "simhash-flat")
-    stands = materialize(flat.groupBy("tab", "fp").agg(F.min("own").alias("rep"), F.max("own").alias("top")), "simhash-stands")
-    shared = flat.join(stands.where("rep < top"), ["tab", "fp"]).where("own != rep").select(F.col("own").alias("a"), F.col("rep").alias("b"))
-    # many tables already deal many groups: a shallower cut copies less
-    links = materialize(trie_links(stands, radius, min_depth=MIN_DEPTH - 2), "simhash-links")
-    end = lambda name: stands.select("tab", F.col("fp").alias(name), F.col("rep").alias(f"{name}_rep"))
-    near = links.join(end("a"), ["tab", "a"]).join(end("b"), ["tab", "b"]).select("a_rep", "b_rep")
-    return shared.union(near)
-
-
-def components(prints: DataFrame, radius: int = 3, tables: int = 1) -> DataFrame:
-    """(fp, component_id): of each distinct (first) fingerprint the smallest doc_id that links can reach (null if
-    all of its component's ids are null)."""
+        return _named(fp[at], _links(key[at], _split(pdf, second), radius)) if _joins(pdf, second) else _named(fp, None)
+
+    return dealt.groupBy("lo", "hi").applyInPandas(join, "a long, b long")
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """rows (prefix, mask, ...) by the node pair (lo, hi); ``second`` marks the rows of node hi."""
+    other = F.col("prefix").bitwiseXOR(F.col("mask"))
+    lo, hi = F.least("prefix", other), F.greatest("prefix", other)
+    return rows.withColumns({"lo": lo, "hi": hi, "second": F.col("prefix") > other}).drop("prefix", "mask")
+
+
+def _joins(pdf: pd.DataFrame, second: np.ndarray) -> bool:
+    """False if a pair of two nodes lacks the rows of one."""
+    return bool(pdf["lo"].iat[0] == pdf["hi"].iat[0] or (second.any() and not second.all()))
+
+
+def _split(pdf: pd.DataFrame, second: np.ndarray) -> int:
+    return 0 if pdf["lo"].iat[0] == pdf["hi"].iat[0] else int((~second).sum())
+
+
+def _named(fp: np.ndarray, links: np.ndarray | None) -> pd.DataFrame:
+    links = np.empty((0, 2), np.int64) if links is None else links
+    signed = fp.view(np.int64)
+    return pd.DataFrame({"a": signed[links[:, 0]], "b": signed[links[:, 1]]})
+
+
+def bit_limit(similarity: float, tables: int = TABLES) -> int:
+    """Differing bits of all fingerprints that still count as similar: those expected of texts of one length with
+    this Jaccard similarity, and one standard deviation."""
+    bits, p = tables * BITS, math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
+    return int(bits * p + math.sqrt(bits * p * (1 - p)))
+
+
+def similar_links(rows: DataFrame, similarity: float, node_size: int = NODE_SIZE) -> DataFrame:
+    """Links (a, b) between nodes of rows (fp: the node, n: its shingles, fps: its fingerprints) whose similarity
+    is estimated at ``similarity`` or more.
+
+    A window holds the lengths of two neighbouring steps of 1/similarity (and a hundredth, for rounding), so
+    that each similar pair is in one window. A window of over ``node_size`` rows is cut into node pairs.
+    """
+    limit, step = bit_limit(similarity), math.log(1.01 / similarity)
+    size = F.floor(F.log(F.greatest("n", F.lit(1)).cast("double")) / F.lit(step)).cast("int")
+    rows = rows.select("fp", "fps", F.explode(F.array(size - 1, size)).alias("win"))
+    # one row per step of the lengths: at most a few hundred
+    counts = rows.groupBy("win").count().collect()
+    deep = {r["win"]: min(16, math.ceil(math.log2(r["count"] / node_size))) for r in counts if r["count"] > node_size}
+    depth = F.coalesce(F.create_map(*[F.lit(x) for kv in deep.items() for x in kv])[F.col("win")], F.lit(0)) if deep else F.lit(0)
+    tries = rows.select("fp", "fps", "win", depth.alias("depth"), F.explode(F.sequence(F.lit(0), F.lit(TRIES - 1))).alias("trie"))
+    prefix = F.expr("CAST(CASE WHEN depth = 0 THEN 0 ELSE shiftrightunsigned(fps[trie], 64 - depth) END AS int)")
+    masks = F.expr(f"filter(sequence(0, shiftleft(1, depth) - 1), m -> bit_count(m) <= {RADIUS})")
+    dealt = _dealt(tries.select("fp", "fps", "win", "trie", prefix.alias("prefix"), F.explode(masks).alias("mask")))
+
+    def join(pdf: pd.DataFrame) -> pd.DataFrame:
+        fp, second = pdf["fp"].to_numpy(np.int64), pdf["second"].to_numpy(bool)
+        if not _joins(pdf, second):
+            return _named(fp, None)
+        wide = np.stack(pdf["fps"].to_numpy()).view(np.uint64)
+        key = wide[:, pdf["trie"].iat[0]]
+        at = np.lexsort((key, second))
+        return _named(fp[at], _links(key[at], _split(pdf, second), RADIUS, TOP, wide[at], limit))
+
+    return dealt.groupBy("win", "trie", "lo", "hi").applyInPandas(join, "a long, b long")
+
+
+def components(prints: DataFrame, links: DataFrame) -> DataFrame:
+    """(fp, component_id): of each distinct fp the smallest doc_id that links (a, b) can reach (null if all of its
+    component's ids are null)."""
     own = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-fp")
-    roots = materialize(connected_components(_graph(prints, radius, tables)), "simhash-roots")
+    roots = materialize(connected_components(links), "simhash-roots")
     tied = own.join(roots.withColumnRenamed("node", "fp"), "fp")
     low = tied.groupBy("root").agg(F.min("least").alias("component_id"))
     linked = tied.join(low, "root").select("fp", "component_id", F.col("root").alias("component"))
@@ -226,22 +304,41 @@ def components(prints: DataFrame, radius: int = 3, tables: int = 1) -> DataFrame
     return linked.union(alone.select("fp", F.col("least").alias("component_id"), F.col("fp").alias("component")))
 
 
-def simhash_classes(docs: DataFrame, width: int = 3, radius: int = 3, tables: int = 1) -> DataFrame:
-    """One row per row of docs (doc_id, text): doc_id, text_hash, fp, component_id, component.
+def simhash_classes(docs: DataFrame, width: int = 3, radius: int = 3) -> DataFrame:
+    """One row per row of docs (doc_id, text): doc_id, text_hash, fp, component_id, component. Fingerprints link
+    at ``radius`` or fewer differing bits.
 
-    With several tables each text has as many independent fingerprints, and one that is within the radius is
-    enough for a link: similar texts whose first fingerprints happen to lie further apart are found too.
     Null and empty texts have fingerprint zero. Repeated rows and ids are kept; rows without an id take
     part and only lack an id. An empty table gives an empty table; other columns are ignored.
     """
-    prints = materialize(fingerprints(docs, width, tables), "simhash-docs")
-    return prints.drop("fps").join(components(prints, radius, tables), "fp").select("doc_id", "text_hash", "fp", "component_id", "component")
+    prints = materialize(fingerprints(docs, width).drop("n", "fps"), "simhash-docs")
+    links = trie_links(materialize(prints.select("fp").distinct(), "simhash-flat"), radius)
+    return prints.join(components(prints, links), "fp").select("doc_id", "text_hash", "fp", "component_id", "component")
+
+
+def near_classes(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """As ``simhash_classes``, but texts are linked whose shingles (repeats count) have a Jaccard similarity
+    estimated at ``similarity`` or more; fp names a distinct set of fingerprints."""
+    prints = fingerprints(docs, width, TABLES).withColumn("fp", F.xxhash64("fps"))
+    prints = materialize(prints, "near-docs")
+    links = similar_links(materialize(prints.select("fp", "n", "fps").distinct(), "near-flat"), similarity)
+    return prints.join(components(prints, links), "fp").select("doc_id", "text_hash", "fp", "component_id", "component")
+
+
+def simhash_dedup(docs: DataFrame, width: int = 3, radius: int = 3) -> DataFrame:
+    """docs with one row of each component of ``simhash_classes``: see ``keep_one``."""
+    return keep_one(docs, simhash_classes(docs, width, radius))
+
+
+def near_dedup(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """docs with one row of each component of ``near_classes``: see ``keep_one``."""
+    return keep_one(docs, near_classes(docs, width, similarity))
 
 
-def simhash_dedup(docs: DataFrame, width: int = 3, radius: int = 3, tables: int = 1) -> DataFrame:
+def keep_one(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """docs with one row of each component: the one of the smallest doc_id (of rows that repeat that id,
     the least text hash; of wholly equal rows, one). All columns of docs are kept."""
-    prints = materialize(simhash_classes(docs, width, radius, tables), "simhash-classes")
+    prints = materialize(classes, "simhash-classes")
     rank = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"), F.col("text_hash").alias("h"))
     kept = prints.groupBy("component").agg(F.min(rank).alias("r"))
     kept = kept.select(F.col("r.i").alias("__i"), F.col("r.h").alias("__h"), F.lit(True).alias("__keep"))

@@ -14,6 +14,7 @@ import duckdb
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from tesserae.llm import decontamination, exact_dedup, mixing, queries, secrets, simhash, token_counts, token_store, toxicity, url_filter, warc_zip
 from tesserae.llm.common import materialize, table
@@ -109,8 +110,6 @@ def test_seats_are_highest_quotients(spark):
     votes = [rng.choice([0, 1, 3, 10, 100, 1000.5]) * rng.random() for _ in range(40)]
     for n in (0, 1, 7, 100, 1234):
         df = spark.createDataFrame([(k, float(v), n) for k, v in enumerate(votes)], "k int, v double, n long")
-        from pyspark.sql import functions as F
-
         got = {r.k: r.seats for r in mixing.seats(df, F.col("v"), F.col("n"), [F.lit(1)], [F.col("k")]).collect()}
         best = sorted(((v / (2 * j + 1), -k) for k, v in enumerate(votes) if v for j in range(n + 1)), reverse=True)[:n]
         assert got == {k: sum(-x == k for _, x in best) for k in range(len(votes))}
@@ -300,8 +299,6 @@ def test_token_store(spark, odd, none):
 
 
 def test_token_store_notices_damage(spark, sf):
-    from pyspark.sql import functions as F
-
     path = queries.tokenizer_path("word_bpe_49k.json")
     store = token_store.write_store(table(spark, sf, "documents").limit(20), path)
     chunks = materialize(spark.read.parquet(f"{store}/chunks"), "c")
@@ -339,8 +336,6 @@ def brute_dedup(rows):
 
 @pytest.mark.parametrize("weak", [False, True])
 def test_exact_dedup(spark, odd, tmp_path, weak):
-    from pyspark.sql import functions as F
-
     odd.write.parquet(f"{tmp_path}/docs")
     digest = (lambda t: F.substring(exact_dedup.text_digest(t), 1, 1)) if weak else exact_dedup.text_digest
     got = exact_dedup.exact_dedup(spark, f"{tmp_path}/docs", digest).collect()
@@ -449,18 +444,82 @@ def test_simhash(spark, sf, odd, none):
     assert simhash.simhash_classes(none).count() == 0
 
 
-def test_simhash_dedup(spark, sf, odd, none):
-    for tables in (1, 3):
-        for df in (table(spark, sf, "documents"), odd):
-            rows = [(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()]
-            root = plain_components([[int(x) for x in simhash.fingerprints_of(t, tables=tables)] for _, t in rows])
-            low = {}
-            for (i, _), k in zip(rows, root):
-                low[k] = i if low.get(k) is None else low[k] if i is None else min(i, low[k])
-            out = simhash.simhash_dedup(df, tables=tables)
-            assert out.columns == df.columns
-            assert sorted((r.doc_id for r in out.collect()), key=repr) == sorted(low.values(), key=repr)
-        assert simhash.simhash_dedup(none, tables=tables).count() == 0
+def plain_near(texts, similarity=0.8):
+    """Brute force over all pairs: components of texts whose fingerprints' bits differ at most as often as the limit,
+    where the lengths and one trie's key allow it."""
+    prints = [simhash.fingerprints_of(t, 5, tables=simhash.TABLES) for t in texts]
+    size = [max(1, simhash.n_shingles(t, 5)) for t in texts]
+    label, limit = list(range(len(texts))), simhash.bit_limit(similarity)
+    win = [math.floor(math.log(n) / math.log(1.01 / similarity)) for n in size]
+
+    def find(k):
+        while label[k] != k:
+            k = label[k]
+        return k
+
+    for a in range(len(texts)):
+        for b in range(a):
+            differ = prints[a] ^ prints[b]
+            key = np.bitwise_count(differ[: simhash.TRIES] >> np.uint64(64 - simhash.TOP)).min()
+            if not differ.any() or (abs(win[a] - win[b]) <= 1 and key <= simhash.RADIUS and np.bitwise_count(differ).sum() <= limit):
+                label[max(find(a), find(b))] = min(find(a), find(b))
+    return [find(k) for k in range(len(texts))]
+
+
+@pytest.mark.parametrize("near", [False, True])
+def test_simhash_dedup(spark, sf, odd, none, near):
+    dedup = simhash.near_dedup if near else simhash.simhash_dedup
+    for df in (table(spark, sf, "documents"), odd):
+        rows = [(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()]
+        root = plain_near([t for _, t in rows]) if near else plain_components([[plain_fingerprint(t)] for _, t in rows])
+        low = {}
+        for (i, _), k in zip(rows, root):
+            low[k] = i if low.get(k) is None else low[k] if i is None else min(i, low[k])
+        out = dedup(df)
+        assert out.columns == df.columns
+        assert sorted((r.doc_id for r in out.collect()), key=repr) == sorted(low.values(), key=repr)
+    assert dedup(none).count() == 0
+
+
+def edited(words, rng, part):
+    """A copy in which so great a part of the words, in runs of five, is replaced."""
+    words = list(words)
+    for k in rng.sample(range(0, len(words) - 5, 5), int(part * len(words) / 5)):
+        words[k : k + 5] = [f"new{rng.randrange(10**9)}" for _ in range(5)]
+    return words
+
+
+def test_near_dedup_finds_similar_texts(spark):
+    """Copies above the similarity go, others below it stay, and a cut into node pairs changes nothing."""
+    rng = random.Random(11)
+    texts, near, far = [], [], []
+    for k in range(60):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(rng.choice([60, 300, 1500]))]
+        for part, group in ((0, None), (0.04, near), (0.4, far)):
+            texts.append(" ".join(edited(words, rng, part)))
+            if group is not None:
+                group.append(len(texts) - 1)
+    for group, low, high in ((near, 0.8, 1), (far, 0, 0.5)):
+        for k in group:
+            a, b = shingles(texts[k]), shingles(texts[k - k % 3])
+            assert low <= len(a & b) / len(a | b) <= high
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = {r.doc_id for r in simhash.near_dedup(docs).collect()}
+    assert kept == set(range(len(texts))) - set(near)
+    rows = materialize(simhash.fingerprints(docs, 5, simhash.TABLES).select(F.xxhash64("fps").alias("fp"), "n", "fps"), "near")
+    whole, cut = ({frozenset((r.a, r.b)) for r in simhash.similar_links(rows, 0.8, size).collect()} for size in (1 << 17, 8))
+    assert whole == cut and len(whole) == len(near)
+
+
+def test_dense_group_is_pruned():
+    """Ten thousand keys of one group give a forest, not all pairs."""
+    rng = np.random.default_rng(5)
+    wide = np.tile(rng.integers(0, 1 << 63, (1, 16), dtype=np.uint64), (10_000, 1))
+    for _ in range(20):
+        wide[np.arange(len(wide)), rng.integers(0, 16, len(wide))] ^= np.uint64(1) << rng.integers(0, 64, len(wide), dtype=np.uint64)
+    wide = wide[np.argsort(wide[:, 0])]
+    links = simhash._links(wide[:, 0].copy(), 0, 3, 24, wide, 166)
+    assert len(links) == len(wide) - 1
 
 
 def test_trie_links_equal_brute_force():
@@ -511,7 +570,7 @@ def test_pipeline_stages(spark, sf):
             assert sorted(kept[name]) == sorted(r.doc_id for r in scores.collect())
         elif name == "simhash":
             rows = docs.select("doc_id", "text").orderBy("doc_id").collect()
-            root = plain_components([[int(x) for x in simhash.fingerprints_of(r.text, tables=8)] for r in rows])
+            root = plain_near([r.text for r in rows])
             assert sorted(kept[name]) == sorted({rows[k].doc_id for k in root})
         elif name == "decontamination":
             bench = [shingles(r.text) for r in table(spark, sf, "benchmark").collect()]
