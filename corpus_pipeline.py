@@ -18,9 +18,9 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """With the smallest doc_id of each component of texts linked by SimHash. The operator's one fingerprint, at
-    three bits, misses most pairs that share just 0.8 of their shingles; eight of them find most of those."""
-    return simhash.simhash_dedup(docs, tables=8)
+    """With the smallest doc_id of each component of texts whose five-word shingles are similar (0.8 or more), as
+    estimated from the differing bits of sixteen SimHash fingerprints."""
+    return simhash.near_dedup(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
