@@ -11,7 +11,7 @@ most ``radius`` bits; each pair is one task, in which the pair's subtrees are tr
 differing bits add up on the way down, and a pair is left as soon as they exceed the radius. A task
 returns a spanning forest of the links that it found, so a dense group makes no more rows than it has
 fingerprints; a node pair whose keys are already in one component is left too, so a dense group does not
-cost all of its pairs.
+cost all of its pairs. A node pair that a dense group makes too large for one task is tiled: see ``_tiled``.
 
 ``near_dedup`` looks for a similarity of shingles instead of a radius. One fingerprint is too short for
 that, so a text has ``TABLES`` of them. Each of the first ``TRIES`` is the key of one trie, whose error
@@ -38,6 +38,8 @@ from .graph import connected_components
 SEED, BITS = 42, 64
 #: Fingerprints under one trie node of a task, on average, and the least depth of the cut.
 NODE_SIZE, MIN_DEPTH = 1 << 17, 6
+#: A node pair of more rows than this many nodes is tiled.
+LARGE = 4
 #: Rows of a block of node pairs; leaves of so few pairs are compared directly.
 BLOCK, LEAF = 1 << 17, 16
 #: Fingerprints of a text in ``near_dedup``, how many of them key a trie, the bits of a key that count, and their radius.
@@ -229,7 +231,7 @@ def trie_links(fps: DataFrame, radius: int = 3, node_size: int = NODE_SIZE, min_
         at = np.lexsort((key, second))
         return _named(fp[at], _links(key[at], _split(pdf, second), radius)) if _joins(pdf, second) else _named(fp, None)
 
-    return dealt.groupBy("lo", "hi").applyInPandas(join, "a long, b long")
+    return _joined(dealt, ["lo", "hi"], join, node_size, n > node_size)
 
 
 def _dealt(rows: DataFrame) -> DataFrame:
@@ -239,6 +241,58 @@ def _dealt(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"lo": lo, "hi": hi, "second": F.col("prefix") > other}).drop("prefix", "mask")
 
 
+def _joined(dealt: DataFrame, pair: list[str], join, node_size: int, cut: bool) -> DataFrame:
+    """Links (a, b) that ``join`` finds in each node pair (columns ``pair``) of dealt. Without ``cut`` no pair
+    can be large."""
+    kind = "a long, b long"
+    sizes = None
+    if cut:
+        sizes = dealt.groupBy(*pair).agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > LARGE * node_size)
+        sizes = materialize(sizes, "simhash-large")
+    if sizes is None or sizes.isEmpty():
+        return dealt.groupBy(*pair).applyInPandas(join, kind)
+    sizes = sized(sizes, 64)
+    rest = dealt.join(sizes.select(*pair), pair, "left_anti").groupBy(*pair).applyInPandas(join, kind)
+    return rest.union(_tiled(materialize(dealt.join(sizes, pair), "simhash-dense"), pair, join, node_size))
+
+
+def _tiled(rows: DataFrame, pair: list[str], join, node_size: int) -> DataFrame:
+    """The links of large node pairs (rows with their pair's ``size``) in tasks of about two nodes' rows.
+
+    A pair's rows fall into blocks by a hash. First each block is joined with the first one, which puts a
+    dense group into one component. Two rows that are not yet in one component are not both in the pair's
+    largest: so the rows outside of it, in blocks of their own, are joined with all blocks, which makes the
+    links complete. Copies of a row are as many as blocks lie outside; none if the pair is one group.
+    """
+    spread = F.xxhash64("fp", F.lit(1))
+    rows = rows.withColumn("blocks", F.ceil(F.col("size") / node_size).cast("int"))
+    first = rows.withColumns({"out": F.pmod(spread, "blocks") == 0, "outer": F.lit(1)})
+    found = materialize(_tiles(first, pair, join, spread), "simhash-hubs")
+    roots = connected_components(found)
+    group = F.coalesce("root", "fp")
+    tied = materialize(rows.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("group", group).drop("root"), "simhash-tied")
+    sizes = tied.groupBy(*pair, "group").agg(F.count(F.lit(1)).alias("c"), F.first("size").alias("size"))
+    most = sizes.groupBy(*pair).agg(F.max(F.struct("c", "group")).alias("m"), F.first("size").alias("s"))
+    most = most.select(*pair, F.col("m.group").alias("most"), F.ceil((F.col("s") - F.col("m.c")) / node_size).cast("int").alias("outer"))
+    most = sized(materialize(most, "simhash-most"), 64)
+    left = tied.join(most, pair).withColumn("out", F.col("group") != F.col("most")).drop("group", "most")
+    return found.union(_tiles(left.where("outer > 0"), pair, join, spread))
+
+
+def _tiles(rows: DataFrame, pair: list[str], join, spread) -> DataFrame:
+    """Joins each of the ``outer`` blocks of the rows marked ``out`` with each of the ``blocks`` of all rows."""
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = lambda n: F.pmod(spread, n).cast("int")
+    some = rows.where("out").withColumn("__i", own("outer")).withColumn("__j", every("blocks"))
+    both = some.unionByName(rows.withColumn("__j", own("blocks")).withColumn("__i", every("outer")))
+    both = both.drop("size", "blocks", "outer", "out")
+
+    def tile(pdf: pd.DataFrame) -> pd.DataFrame:
+        return join(pdf.drop_duplicates("fp"))
+
+    return both.groupBy(*pair, "__i", "__j").applyInPandas(tile, "a long, b long")
+
+
 def _joins(pdf: pd.DataFrame, second: np.ndarray) -> bool:
     """False if a pair of two nodes lacks the rows of one."""
     return bool(pdf["lo"].iat[0] == pdf["hi"].iat[0] or (second.any() and not second.all()))
@@ -289,7 +343,7 @@ def similar_links(rows: DataFrame, similarity: float, node_size: int = NODE_SIZE
         at = np.lexsort((key, second))
         return _named(fp[at], _links(key[at], _split(pdf, second), RADIUS, TOP, wide[at], limit))
 
-    return dealt.groupBy("win", "trie", "lo", "hi").applyInPandas(join, "a long, b long")
+    return _joined(dealt, ["win", "trie", "lo", "hi"], join, node_size, bool(deep))
 
 
 def components(prints: DataFrame, links: DataFrame) -> DataFrame:

@@ -511,6 +511,17 @@ def test_near_dedup_finds_similar_texts(spark):
     assert whole == cut and len(whole) == len(near)
 
 
+def test_dense_group_of_similar_texts_is_tiled(spark):
+    """A group of near copies too large for one node keeps its component."""
+    rng = random.Random(12)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+    texts = [" ".join(words[:k] + [f"new{k}"] + words[k + 1 :]) for k in range(400)] + [" ".join(f"v{rng.randrange(10**6)}" for _ in range(400)) for _ in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = materialize(simhash.fingerprints(docs, 5, simhash.TABLES).select(F.xxhash64("fps").alias("fp"), "n", "fps").distinct(), "near")
+    roots = [sorted((r.node, r.root) for r in connected_components(simhash.similar_links(rows, 0.8, size)).collect()) for size in (1 << 17, 8)]
+    assert roots[0] == roots[1] and len(roots[0]) == rows.count() - 40
+
+
 def test_dense_group_is_pruned():
     """Ten thousand keys of one group give a forest, not all pairs."""
     rng = np.random.default_rng(5)
@@ -540,6 +551,33 @@ def test_trie_links_equal_brute_force():
             assert all((int(keys[a]) ^ int(keys[b])).bit_count() <= 64 for a, b in links)
 
 
+@pytest.mark.parametrize("groups", [1, 2])
+def test_large_node_pairs_are_tiled(spark, monkeypatch, groups):
+    """Groups too large for one node, among other keys, come out whole, from tasks of bounded size."""
+    monkeypatch.setattr(simhash, "LARGE", 1)
+    rng = np.random.default_rng(7)
+    far = rng.integers(0, 1 << 63, 400, dtype=np.uint64)
+    parts = [far, far ^ (np.uint64(1) << np.uint64(9))]
+    for g in range(groups):
+        near = np.full(1500, rng.integers(0, 1 << 63, dtype=np.uint64))
+        for _ in range(6):
+            near ^= np.uint64(1) << rng.integers(20, 44, len(near), dtype=np.uint64)
+        parts.append(near)
+    keys = np.unique(np.concatenate(parts))
+    want = np.array(plain_components([[int(k)] for k in keys]))
+    fps = materialize(spark.createDataFrame([(int(k),) for k in keys.view(np.int64)], "fp long"), "fps")
+    links = [(r.a, r.b) for r in simhash.trie_links(fps, node_size=64, min_depth=2).collect()]
+    at = {int(k): i for i, k in enumerate(keys.view(np.int64))}
+    pairs = np.array([(at[a], at[b]) for a, b in links])
+    forest, got = simhash._forest(pairs, len(keys)), np.arange(len(keys))
+    got[forest[:, 0]] = forest[:, 1]
+    assert np.array_equal(got, want)
+    own = fps.withColumns({"lo": F.lit(0), "hi": F.lit(0), "second": F.lit(False), "size": F.lit(len(keys)).cast("long")})
+    count = lambda pdf: pdf.assign(a=len(pdf), b=0)[["a", "b"]].head(1)
+    tiled = simhash._tiled(own, ["lo", "hi"], count, 64).collect()
+    assert len(tiled) > 10 and max(r.a for r in tiled) < 4 * 64
+
+
 def test_components(spark):
     rng = random.Random(6)
     edges = [(k, k + 1) for k in range(60)] + [(200, k) for k in range(201, 260)] + [(rng.randrange(300, 400), rng.randrange(300, 400)) for _ in range(60)]
