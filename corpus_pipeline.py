@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tesserae.llm import decontamination, mixing, simhash, token_store, toxicity
+from tesserae.llm import decontamination, jaccard, mixing, token_store, toxicity
 from tesserae.llm.common import materialize, table
 from tesserae.llm.queries import tokenizer_path
 
@@ -18,9 +18,9 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """With the smallest doc_id of each component of texts whose five-word shingles are similar (0.8 or more), as
-    estimated from the differing bits of sixteen SimHash fingerprints."""
-    return simhash.near_dedup(docs)
+    """With the smallest doc_id of each component of texts whose sets of five-word shingles have a Jaccard similarity
+    of 0.8 or more, compared exactly."""
+    return jaccard.similar_dedup(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -385,7 +385,8 @@ def simhash_dedup(docs: DataFrame, width: int = 3, radius: int = 3) -> DataFrame
 
 
 def near_dedup(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
-    """docs with one row of each component of ``near_classes``: see ``keep_one``."""
+    """docs with one row of each component of ``near_classes``: see ``keep_one``. An estimate; the pipeline compares
+    the shingles themselves (``jaccard.similar_dedup``)."""
     return keep_one(docs, near_classes(docs, width, similarity))
 
 
