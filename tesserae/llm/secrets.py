@@ -1,10 +1,12 @@
 """Secret scans: fixed patterns, and Shannon entropy of sliding windows over candidate strings.
 
 Spans are in code points, end exclusive, of the whole match. Kinds: ``assign``, ``access`` and ``hex`` are
-the base patterns (leftmost, non-overlapping within a kind). ``entropy`` spans are added where no base
-span lies: candidates are runs of at least ``WINDOW`` characters of one alphabet; a window of ``WINDOW``
-characters slides over them with character counts kept up step by step, and the windows whose entropy
-reaches the limit of the candidate's class make up the span. Allow-listed candidates are suppressed.
+the base patterns (leftmost, non-overlapping within a kind). ``entropy`` spans are added where no base span
+lies: candidates are runs of at least ``WINDOW`` characters of one alphabet, without the base spans in them. A
+window of ``WINDOW`` characters slides over them; the counts of its characters and the number of its
+lower-case letters, upper-case letters, digits and symbols are kept up step by step. A window whose entropy
+reaches the limit of its own character class is dense, and dense windows that overlap make up a span.
+Allow-listed candidates are suppressed.
 """
 
 from __future__ import annotations
@@ -31,58 +33,77 @@ BASE_KINDS = ("assign", "access", "hex")
 
 WINDOW = 20
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
-#: Least entropy (bits) of a window by the character classes of the candidate; None: not a candidate.
-LIMITS = {"digit": None, "letter": None, "hex": 3.0, "alnum": 3.7, "symbol": 3.9}
-#: Candidates that match one of these are no secrets.
+#: Least entropy (bits) of a window, by the class of its characters. Random windows of a class lie above with few
+#: exceptions, words, identifiers and paths below (tests/llm measures both); several words run together in lower case may reach it. Digits alone are base spans.
+LIMITS = {"hex": 3.0, "lower": 3.65, "letter": 3.85, "alnum": 3.7, "mark": 4.0, "symbol": 3.9}
+#: A candidate with one of these as a whole part (between characters that are no letters or digits) is no secret.
+ALLOW_WORDS = frozenset(("example", "sample", "dummy", "placeholder", "changeme", "lorem", "test"))
+#: Nor is one that one of these is found in.
 ALLOW = tuple(
     re.compile(p)
     for p in (
-        r"(?i)example|sample|dummy|placeholder|changeme|lorem|test",
         r"(?i)abcdefgh|01234567|12345678|qwerty",
         r"(.)\1{7,}",
         r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
-        r"^[a-z]+(?:[-_/][a-z]+)+[-_/]?[0-9]{0,4}$",
+        # words and numbers between marks, and identifiers of words that begin with a capital
+        r"^[-_/=]*(?:[a-z]{1,15}|[A-Z]{1,15}|[A-Z][a-z]{1,14}|[0-9]{1,8}|v[0-9]{1,3})(?:[-_/=]+(?:[a-z]{1,15}|[A-Z]{1,15}|[A-Z][a-z]{1,14}|[0-9]{1,8}|v[0-9]{1,3}))+[-_/=]*$",
+        r"^[A-Z]?[a-z]{2,15}(?:[A-Z][a-z]{2,15})+[0-9]{0,4}$",
         r"^[-_=+/]*$",
     )
 )
+_PARTS = re.compile(r"[A-Za-z0-9]+")
 
 
-def character_class(s: str) -> str:
-    """The class of a candidate, by the characters in it."""
-    plain = s.rstrip("=")
-    if plain.isdigit():
-        return "digit"
-    if plain.isalpha():
-        return "letter"
-    if re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", plain):
-        return "hex"
-    if plain.isalnum():
-        return "alnum"
-    if not any(c.isdigit() for c in plain):
-        return "letter"
-    return "symbol"
+def _kind(c: str) -> int:
+    """0: a-f, 1: other lower case, 2: A-F, 3: other upper case, 4: digit, 5: symbol."""
+    if c.islower():
+        return 0 if c <= "f" else 1
+    if c.isupper():
+        return 2 if c <= "F" else 3
+    return 4 if c.isdigit() else 5
 
 
-def dense_windows(s: str, limit: float, window: int = WINDOW) -> tuple[int, int] | None:
-    """From the first to the last window of s whose entropy reaches limit; None if there is none.
+def window_class(kinds: list[int]) -> str:
+    """The class of a window with so many characters of each ``_kind``."""
+    af, lower, up_af, upper, digits, symbols = kinds
+    if symbols:
+        return "symbol" if digits else "mark"
+    if not digits:
+        return "letter" if up_af + upper else "lower"
+    return "hex" if not lower + upper and not (af and up_af) else "alnum"
+
+
+def dense_spans(s: str, limits: dict[str, float] = LIMITS, window: int = WINDOW) -> list[tuple[int, int]]:
+    """The runs of overlapping windows of s whose entropy reaches the limit of their class.
 
     The sum of c*log2(c) over the counts c in the window follows each step by one character out, one in."""
     log = [0.0] + [c * math.log2(c) for c in range(1, window + 1)]
-    need = (math.log2(window) - limit) * window + 1e-9
+    need = {k: (math.log2(window) - limit) * window + 1e-9 for k, limit in limits.items()}
     counts: dict[str, int] = {}
-    total, first, last = 0.0, None, None
+    kinds, total = [0] * 6, 0.0
+    found: list[tuple[int, int]] = []
     for k, c in enumerate(s):
         if k >= window:
             out = s[k - window]
             n = counts[out]
             total += log[n - 1] - log[n]
             counts[out] = n - 1
+            kinds[_kind(out)] -= 1
         n = counts.get(c, 0)
         total += log[n + 1] - log[n]
         counts[c] = n + 1
-        if k >= window - 1 and total <= need:
-            first, last = (k - window + 1 if first is None else first), k + 1
-    return None if first is None else (first, last)
+        kinds[_kind(c)] += 1
+        if k >= window - 1 and total <= need[window_class(kinds)]:
+            begin = k - window + 1
+            if found and begin < found[-1][1]:
+                found[-1] = (found[-1][0], k + 1)
+            else:
+                found.append((begin, k + 1))
+    return found
+
+
+def is_allowed(s: str) -> bool:
+    return any(p.search(s) for p in ALLOW) or any(x.lower() in ALLOW_WORDS for x in _PARTS.findall(s))
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -96,17 +117,20 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(found, key=lambda x: (x[0], BASE_KINDS.index(x[2]), x[1]))
 
 
-def entropy_spans(text: str, base: list[tuple[int, int, str]], limits=LIMITS, allow=ALLOW) -> list[tuple[int, int, str]]:
+def entropy_spans(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
     found = []
     for m in CANDIDATE.finditer(text):
-        s = m[0]
-        limit = limits[character_class(s)]
-        if limit is None or any(p.search(s) for p in allow):
+        if is_allowed(m[0]):
             continue
-        if span := dense_windows(s, limit):
-            a, b = m.start() + span[0], m.start() + span[1]
-            if not any(x < b and a < y for x, y, _ in base):
-                found.append((a, b, "entropy"))
+        # the candidate without its base spans (sorted by start)
+        pieces, at = [], m.start()
+        for x, y, _ in base:
+            if x < m.end() and y > at:
+                pieces.append((at, x))
+                at = max(at, y)
+        for x, y in (*pieces, (at, m.end())):
+            if y - x >= WINDOW:
+                found += [(x + i, x + j, "entropy") for i, j in dense_spans(text[x:y])]
     return found
 
 
