@@ -1,15 +1,19 @@
-"""Exact self-join of texts by the Jaccard similarity of their sets of shingles.
-
-Prefix filter: the shingles of all texts have one order, and two sets of a similarity of at least t share one of
-the first n - ceil(t n) + 1 shingles of each. So no similar pair is missed, however short the texts are. In the
-order the shingles that a sample of the texts finds in many texts come last, for they tell little; the order
-changes the cost only, never the pairs.
-
-The pairs that share such a shingle are candidates. First each text is compared with its neighbour by length
-under each shingle, which ties a group of near copies together without all of its pairs. Two texts that are not
-tied then are not both in the largest tied group of a shingle that they share, so the texts outside of it are
-compared with all of that shingle's texts. While these are many, and fewer
-for it each time, neighbours in another order are compared first. Every comparison is of the shingles of the two texts.
+"""Near-duplicates by the Jaccard similarity of sets of shingles: SimHash tries, verified, and what they miss.
+
+1. ``simhash.similar_links`` joins the tries of several fingerprints and gives candidate pairs that tie groups of
+   near copies together without all of their pairs. Fingerprints only estimate the similarity, so every
+   candidate is compared by its shingles before it becomes a link.
+2. Fingerprints miss pairs, those of short texts above all. The rest is found by prefixes: the shingles of all
+   texts have one order, and two sets of a similarity of at least t share one of the first
+   n - ceil(t n) + 1 shingles of each. Two texts that are not tied yet are not both in the largest tied group of
+   a shingle that they share, so the texts outside of it are compared with all of that shingle's texts. In the
+   order the shingles that a sample of the texts finds in many texts come last, for they tell little; the order
+   changes the cost only, never the pairs.
+
+In step 2 a task holds some thousand texts of a shingle as (size, position, parity bits). Each shingle of a set
+flips one parity bit, so two sets differ in at least as many shingles as their bits do: pairs that differ too much
+never leave the task. While it ties many texts, each text leaves with its most likely partner only; at last with
+all that are left. Every link is of two texts whose shingles were compared.
 """
 
 from __future__ import annotations
@@ -19,19 +23,21 @@ from fractions import Fraction
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_rows, materialize, sized
 from .graph import connected_components
-from .simhash import components, keep_one
+from .simhash import SEED, TABLES, components, keep_one, prints_of, shingle_hashes, similar_links
 
-SEED = 42
 #: One text in SAMPLE is searched for frequent shingles: those of at least OFTEN of these texts, MOST at most.
 SAMPLE, OFTEN, MOST = 16, 4, 1 << 20
-#: Texts that a text outside of a shingle's largest group is compared with, on average, without another turn of
-#: neighbours; the logarithm of the lengths' ratio in which neighbours of a turn lie.
-FEW, LENGTHS = 16, 0.2
+#: Rows of a shingle in one task, rows of small shingles that share a task, and pairs compared at once.
+TILE, PACK, PAIRS = 2048, 4096, 1 << 20
+#: Parity bits of a set: as many as its shingles, as a power of two within these bounds.
+LEAST_BITS, MOST_BITS = 64, 4096
+#: Rounds with single partners go on while they tie one in MANY of the texts outside.
+MANY = 8
 
 
 def _words(text: str | None) -> list[bytes]:
@@ -46,15 +52,14 @@ def shingles_of(text: str | None, width: int) -> set[bytes]:
 
 def hashes_of(text: str | None, width: int) -> np.ndarray:
     """Sorted distinct hashes of the shingles of a whole text."""
-    words = _words(text)
-    if not words:
-        return np.empty(0, np.uint64)
-    joined, n = b" ".join(words), max(1, len(words) - width + 1)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.concatenate([[0], ends[:-1] + 1])[:n].tolist()
-    last = ends[min(width, len(words)) - 1 :].tolist()
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.fromiter((digest(joined[i:j], SEED) for i, j in zip(starts, last)), np.uint64, n))
+    return np.unique(shingle_hashes(text, width))
+
+
+def parity_bits(h: np.ndarray) -> np.ndarray:
+    """Of a set of hashes: bit k is one if an odd number of them fall on it."""
+    size = min(MOST_BITS, max(LEAST_BITS, 1 << max(0, len(h) - 1).bit_length()))
+    counts = np.bincount((h >> np.uint64(64 - size.bit_length() + 1)).astype(np.int64), minlength=size)
+    return np.packbits((counts & 1).astype(np.uint8), bitorder="little").view(np.uint64)
 
 
 def ratio(similarity: float) -> tuple[int, int]:
@@ -99,69 +104,146 @@ def _often(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def shingle_sets(docs: DataFrame, width: int, similarity: float) -> DataFrame:
-    """(doc_id, text_hash, fp: names a set of shingles, n: its size, prefix) of every row of docs (doc_id, text)."""
+    """(doc_id, text_hash, fp: names a set of shingles, n: its size, prefix, bits: parity bits, fps: SimHash
+    fingerprints) of every row of docs (doc_id, text)."""
     spark, (p, q) = docs.sparkSession, ratio(similarity)
     arrow_rows(spark)
     often = spark.sparkContext.broadcast(_often(docs, width))
 
-    @F.pandas_udf("fp long, n long, prefix array<long>")
+    @F.pandas_udf("fp long, n long, prefix array<long>, bits binary, fps array<long>")
     def sets(texts: pd.Series) -> pd.DataFrame:
-        made = [hashes_of(t, width) for t in texts]
-        names = np.array([xxhash.xxh64_intdigest(h.tobytes(), SEED) for h in made], np.uint64).view(np.int64)
-        prefixes = pd.Series([prefix_of(h, p, q, often.value).view(np.int64) for h in made], dtype=object)
-        return pd.DataFrame({"fp": names, "n": np.array([len(h) for h in made], np.int64), "prefix": prefixes})
+        out = []
+        for t in texts:
+            every = shingle_hashes(t, width)
+            h = np.unique(every)
+            name = np.uint64(xxhash.xxh64_intdigest(h.tobytes(), SEED)).view(np.int64)
+            out.append((name, len(h), prefix_of(h, p, q, often.value).view(np.int64), parity_bits(h).tobytes(), prints_of(every, TABLES).view(np.int64)))
+        return pd.DataFrame(out, columns=["fp", "n", "prefix", "bits", "fps"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), sets("text").alias("s"))
-    return materialize(rows.select("doc_id", "text_hash", "s.fp", "s.n", "s.prefix"), "near-docs")
+    return materialize(rows.select("doc_id", "text_hash", "s.*"), "near-docs")
 
 
 def similar_sets(docs: DataFrame, sets: DataFrame, width: int, similarity: float) -> DataFrame:
     """Links (a, b) between the sets (``shingle_sets`` of docs) that connect just the pairs of ``similarity`` or
     more: each link is such a pair, and every such pair is in one component of the links."""
     p, q = ratio(similarity)
-    nodes = sets.where("size(prefix) > 0").dropDuplicates(["fp"])
-    rows = nodes.select("fp", "n", F.posexplode("prefix").alias("pos", "token"))
-    by = Window.partitionBy("token").orderBy("n", "fp")
-    rows = rows.withColumns({"last": F.lag(F.struct("fp", "n", "pos")).over(by), "next": F.lead("fp").over(by)})
-    rows = materialize(rows.where("last IS NOT NULL OR next IS NOT NULL").drop("next"), "near-shared")
-
-    def may(n: Column, pos: Column, m: Column, at: Column) -> Column:
-        """Whether sets of n and m shingles whose first common one has these positions can be similar."""
-        return F.least(n - pos, m - at) * (p + q) >= (n + m) * p
-
-    def pairs(x: Column, y: Column) -> list[Column]:
-        return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
-
-    col = F.col
-    first = rows.where(may(col("n"), col("pos"), col("last.n"), col("last.pos"))).select(*pairs(col("fp"), col("last.fp")))
-    first = materialize(first.distinct(), "near-neighbours")
-    names = sets.select("fp", "text_hash")
-    links, cost = _verified(first, docs, names, width, p, q), None
-
-    rows, done, turn = rows.drop("last"), first, 0
+    col, names = F.col, sets.select("fp", "text_hash")
+    nodes = materialize(sets.where("size(prefix) > 0").drop("doc_id", "text_hash").dropDuplicates(["fp"]), "near-sets")
+    done = materialize(_ordered(similar_links(nodes.select("fp", "n", "fps"), similarity)), "near-seeds")
+    links = _verified(done, docs, names, width, p, q)
+
+    flat = nodes.select("fp", "n", F.posexplode("prefix").alias("pos", "token"))
+    shared = flat.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    rows = materialize(flat.join(shared, "token"), "near-shared")
+    last = False
     while True:
         roots = connected_components(links).withColumnRenamed("node", "fp")
         tied = rows.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-        groups = tied.groupBy("token", "root").agg(F.count(F.lit(1)).alias("c"))
-        most = groups.groupBy("token").agg(F.max(F.struct("c", "root")).alias("most"), F.sum("c").alias("all")).where(col("most.c") < col("all"))
-        tied = materialize(tied.join(most, "token"), "near-tied")
-        out = tied.where("root != most.root").drop("most")
-        rest, n = out.agg(F.coalesce(F.sum("all"), F.lit(0)), F.count(F.lit(1))).first()
-        if rest <= FEW * n or (cost is not None and rest > 0.9 * cost):
-            break
-        cost = rest
-        # neighbours of other groups in another order
-        turn += 1
-        by = Window.partitionBy("token").orderBy(F.floor(F.log("n") / LENGTHS + turn * 0.37), F.xxhash64("fp", F.lit(turn)))
-        near = tied.withColumn("last", F.lag(F.struct("fp", "n", "pos", "root")).over(by)).where(col("root") != col("last.root"))
-        near = near.where(may(col("n"), col("pos"), col("last.n"), col("last.pos"))).select(*pairs(col("fp"), col("last.fp"))).distinct()
-        near = materialize(near.join(done, ["a", "b"], "left_anti"), "near-turn")
-        more = _verified(near, docs, names, width, p, q)
-        links, done = links.union(more), done.union(near)
-    out = out.select("token", *[col(c).alias(f"_{c}") for c in ("fp", "n", "pos", "root")])
-    more = out.join(tied, "token").where((col("root") != col("_root")) & may(col("n"), col("pos"), col("_n"), col("_pos")))
-    more = more.select(*pairs(col("fp"), col("_fp"))).distinct().join(done, ["a", "b"], "left_anti")
-    return links.union(_verified(materialize(more, "near-others"), docs, names, width, p, q))
+        groups = tied.groupBy("token", "root").agg(F.count(F.lit(1)).alias("k"))
+        most = groups.groupBy("token").agg(F.max(F.struct("k", "root")).alias("most"), F.sum("k").alias("all")).where(col("most.k") < col("all"))
+        most = most.select("token", col("most.root").alias("most"), (col("all") - col("most.k")).alias("n_out"))
+        tied = materialize(tied.join(most, "token").withColumn("out", col("root") != col("most")).drop("most"), "near-tied")
+        out = tied.where("out").agg(F.count_distinct("fp")).first()[0]
+        if not out:
+            return links
+        fresh = _ordered(_candidates(tied, nodes.select("fp", "bits"), p, q, last)).join(done, ["a", "b"], "left_anti")
+        fresh = materialize(fresh, "near-candidates")
+        more = _verified(fresh, docs, names, width, p, q)
+        links, done = links.union(more), done.union(fresh)
+        if last:
+            return links
+        last = more.count() < out / MANY
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _candidates(tied: DataFrame, bits: DataFrame, p: int, q: int, every: bool) -> DataFrame:
+    """Pairs (a, b) of sets that share a token of tied (token, fp, n, pos, c: the token's rows, n_out: those that
+    are ``out``, root), are of two roots, one of them out, and may be similar by size, positions and parity bits.
+    Unless ``every``, of each set that is out the likeliest partner only.
+
+    A token of over ``TILE`` rows is compared in tiles: each block of its rows that are out with each block of
+    all. Smaller tokens share tasks."""
+    col, one = F.col, F.lit(1).cast("long")
+    packs = max(1, -(-tied.count() // PACK))
+    spread = F.xxhash64("fp", F.lit(7))
+    blocks, outer = F.greatest(one, F.ceil(col("c") / TILE)), F.greatest(one, F.ceil(col("n_out") / TILE))
+    rows = tied.join(bits, "fp").withColumns({"blocks": blocks, "outer": outer})
+    small = rows.where("blocks = 1").withColumns({"pack": F.pmod(F.xxhash64("token"), F.lit(packs)), "i": F.lit(0).cast("long"), "target": F.lit(True), "probe": col("out")})
+    every_of = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), col(n) - 1))
+    large = rows.where("blocks > 1")
+    targets = large.withColumns({"pack": F.pmod(spread, col("blocks")), "i": every_of("outer"), "target": F.lit(True), "probe": F.lit(False)})
+    probes = large.where("out").withColumns({"i": F.pmod(spread, col("outer")), "pack": every_of("blocks"), "target": F.lit(False), "probe": F.lit(True)})
+    names = ["token", "fp", "n", "pos", "root", "out", "bits", "pack", "i", "target", "probe"]
+    dealt = small.withColumn("big", F.lit(None).cast("long")).select(*names, "big")
+    for part in (targets, probes):
+        dealt = dealt.unionByName(part.withColumn("big", col("token")).select(*names, "big"))
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        return _compare(pdf, p, q, every)
+
+    found = dealt.groupBy("big", "pack", "i").applyInPandas(compare, "a long, b long, score double")
+    if every:
+        return found.select("a", "b")
+    return found.groupBy("a").agg(F.max_by("b", F.struct("score", "b")).alias("b"))
+
+
+def _compare(pdf: pd.DataFrame, p: int, q: int, every: bool) -> pd.DataFrame:
+    """The pairs of probes (a) and targets (b) of one token each that may be similar, with their score."""
+    pdf = pdf.sort_values("token", kind="stable")
+    token, fp, n, pos, root = (pdf[c].to_numpy(np.int64) for c in ("token", "fp", "n", "pos", "root"))
+    out, bits = pdf["out"].to_numpy(bool), pdf["bits"].to_numpy()
+    probes, targets = (np.flatnonzero(pdf[c].to_numpy(bool)) for c in ("probe", "target"))
+    begin, end = (np.searchsorted(token[targets], token[probes], side) for side in ("left", "right"))
+    words = np.array([len(x) // 8 for x in bits], np.int64)
+    level = {w: np.flatnonzero((words == w) | (words == 2 * w)) for w in np.unique(words).tolist()}
+    folded = {}
+    for w, at in level.items():
+        made = np.zeros((len(at), w), np.uint64)
+        for k, r in enumerate(at.tolist()):
+            x = np.frombuffer(bits[r], np.uint64)
+            # the bit of a hash is its high bits, so halves of a size are neighbours of the double size
+            made[k] = x if len(x) == w else _fold(x)
+        folded[w] = made, at
+    sizes, found = end - begin, []
+    stops = np.searchsorted(np.cumsum(sizes), np.arange(PAIRS, int(sizes.sum()) + PAIRS, PAIRS)) + 1
+    first = 0
+    for stop in np.minimum(stops, len(probes)).tolist():
+        if stop <= first:
+            continue
+        some, first = np.arange(first, stop), stop
+        of = np.repeat(some, sizes[some])
+        j = targets[begin[of] + np.arange(len(of)) - np.repeat(np.cumsum(sizes[some]) - sizes[some], sizes[some])]
+        i = probes[of]
+        both = n[i] + n[j]
+        may = (root[i] != root[j]) & (np.minimum(n[i] - pos[i], n[j] - pos[j]) * (p + q) >= both * p)
+        if every:  # two sets that are both out meet twice
+            may &= ~out[j] | (fp[i] < fp[j])
+        i, j, both = i[may], j[may], both[may]
+        differ = np.full(len(i), np.iinfo(np.int64).max)
+        pair = np.minimum(words[i], words[j])
+        for w, (made, at) in folded.items():
+            x = np.flatnonzero((pair == w) & (np.maximum(words[i], words[j]) <= 2 * w))
+            if len(x):
+                differ[x] = np.bitwise_count(made[np.searchsorted(at, i[x])] ^ made[np.searchsorted(at, j[x])]).sum(1, dtype=np.int64)
+        # sets whose sizes are within the similarity have bits of one size or of the next
+        near = differ * (p + q) <= both * (q - p)
+        i, j, score = i[near], j[near], -differ[near] / both[near]
+        if not every and len(i):
+            best = np.lexsort((j, -score, i))
+            best = best[np.unique(i[best], return_index=True)[1]]
+            i, j, score = i[best], j[best], score[best]
+        found.append(pd.DataFrame({"a": fp[i], "b": fp[j], "score": score}))
+    return pd.concat(found) if found else pd.DataFrame({"a": np.empty(0, np.int64), "b": np.empty(0, np.int64), "score": np.empty(0)})
+
+
+def _fold(x: np.ndarray) -> np.ndarray:
+    """Parity bits of half the size: neighbouring bits added."""
+    pairs = np.unpackbits(x.view(np.uint8), bitorder="little").reshape(-1, 2)
+    return np.packbits(pairs[:, 0] ^ pairs[:, 1], bitorder="little").view(np.uint64)
 
 
 def similar_classes(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:

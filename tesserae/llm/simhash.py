@@ -13,11 +13,11 @@ returns a spanning forest of the links that it found, so a dense group makes no
 fingerprints; a node pair whose keys are already in one component is left too, so a dense group does not
 cost all of its pairs. A node pair that a dense group makes too large for one task is tiled: see ``_tiled``.
 
-``near_dedup`` looks for a similarity of shingles instead of a radius. One fingerprint is too short for
-that, so a text has ``TABLES`` of them. Each of the first ``TRIES`` is the key of one trie, whose error
-budget counts only its top ``TOP`` bits; the differing bits of all fingerprints together estimate the
-similarity of the pairs it finds. Only texts of like length can be similar, so each trie holds one window
-of lengths.
+``similar_links`` looks for a similarity of shingles instead of a radius, for ``jaccard``, which verifies what it
+finds and completes it. One fingerprint is too short for that, so a text has ``TABLES`` of them. Each is the key
+of one trie, whose error budget counts only its top ``TOP`` bits; the differing bits of all fingerprints
+together estimate the similarity of the pairs it finds. Only texts of like length can be similar, so each trie
+holds one window of lengths.
 """
 
 from __future__ import annotations
@@ -37,74 +37,81 @@ from .graph import connected_components
 
 SEED, BITS = 42, 64
 #: Fingerprints under one trie node of a task, on average, and the least depth of the cut.
-NODE_SIZE, MIN_DEPTH = 1 << 17, 6
+NODE_SIZE, MIN_DEPTH = 1 << 17, 4
 #: A node pair of more rows than this many nodes is tiled.
 LARGE = 4
 #: Rows of a block of node pairs; leaves of so few pairs are compared directly.
 BLOCK, LEAF = 1 << 17, 16
-#: Fingerprints of a text in ``near_dedup``, how many of them key a trie, the bits of a key that count, and their radius.
-TABLES, TRIES, TOP, RADIUS = 16, 8, 24, 3
+#: Fingerprints of a text in ``similar_links``, each the key of a trie, the bits of a key that count, and their radius.
+TABLES, TOP, RADIUS = 4, 24, 3
+#: Rows of a node there, on average; a node of more is cut into blocks of this size.
+SIMILAR_NODE = 1 << 13
 #: Hashes counted at once: ``_RUN`` bits add up in a byte.
 _RUN = 255
 _SLICE = _RUN << 6
 
 
-def fingerprints_of(text: str | None, width: int = 3, seed: int = SEED, tables: int = 1) -> np.ndarray:
-    """Unsigned fingerprints of a whole text. The first is by the hashes themselves, each further one by
-    another bijective mix of them."""
+def shingle_hashes(text: str | None, width: int, seed: int = SEED) -> np.ndarray:
+    """Hashes of the shingles of a whole text, repeats included, in their order."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return np.zeros(tables, np.uint64)
+        return np.empty(0, np.uint64)
     joined, n = b" ".join(words), max(1, len(words) - width + 1)
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(lengths + 1) - 1
     starts = ends - lengths
     last = ends[min(width, len(words)) - 1 :]
+    digest, out = xxhash.xxh64_intdigest, np.empty(n, np.uint64)
+    for k in range(0, n, _SLICE):
+        a, b = starts[k : min(k + _SLICE, n)].tolist(), last[k : k + _SLICE].tolist()
+        out[k : k + len(a)] = np.fromiter((digest(joined[i:j], seed) for i, j in zip(a, b)), np.uint64, len(a))
+    return out
+
+
+def prints_of(hashes: np.ndarray, tables: int = 1) -> np.ndarray:
+    """Unsigned fingerprints of a text's shingle hashes. The first is by the hashes themselves, each further one by
+    another bijective mix of them."""
+    n = len(hashes)
+    if not n:
+        return np.zeros(tables, np.uint64)
     ones = np.zeros((tables, BITS), np.int64)
     steps = np.array([t * 0x9E3779B97F4A7C15 % 2**64 for t in range(tables)], np.uint64)[:, None]
-    digest = xxhash.xxh64_intdigest
     for k in range(0, n, _SLICE):
-        a, b = starts[k : min(k + _SLICE, n)].tolist(), last[k : k + _SLICE].tolist()
-        runs = -(-len(a) // _RUN)
-        h = np.zeros((tables, runs * min(_RUN, len(a))), np.uint64)
-        h[0, : len(a)] = hashes = np.fromiter((digest(joined[i:j], seed) for i, j in zip(a, b)), np.uint64, len(a))
+        part = hashes[k : k + _SLICE]
+        runs = -(-len(part) // _RUN)
+        h = np.zeros((tables, runs * min(_RUN, len(part))), np.uint64)
+        h[0, : len(part)] = part
         if tables > 1:
-            mixed = hashes + steps[1:]
+            mixed = part + steps[1:]
             mixed = (mixed ^ (mixed >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
             mixed = (mixed ^ (mixed >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-            h[1:, : len(a)] = mixed ^ (mixed >> np.uint64(31))
+            h[1:, : len(part)] = mixed ^ (mixed >> np.uint64(31))
         bits = np.unpackbits(h.view(np.uint8).reshape(-1), bitorder="little").reshape(tables, runs, -1, BITS)
         ones += bits.sum(2, dtype=np.uint8).sum(1, dtype=np.int64)
     return np.packbits(ones * 2 > n, axis=1, bitorder="little").view(np.uint64)[:, 0]
 
 
 def fingerprint(text: str | None, width: int = 3, seed: int = SEED) -> int:
-    return int(fingerprints_of(text, width, seed)[0])
-
+    return int(prints_of(shingle_hashes(text, width, seed))[0])
 
-def n_shingles(text: str | None, width: int) -> int:
-    words = len((text or "").encode("utf-8", "surrogatepass").split())
-    return max(min(words, 1), words - width + 1)
 
-
-def fingerprints(docs: DataFrame, width: int = 3, tables: int = 1) -> DataFrame:
-    """(doc_id, text_hash, n: number of shingles, fp: signed long, fps: all tables' fingerprints) of every row;
-    text_hash tells rows of one id apart."""
+def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
+    """(doc_id, text_hash, fp: signed long) of every row; text_hash tells rows of one id apart."""
     arrow_rows(docs.sparkSession)
 
-    @F.pandas_udf("array<long>")
+    @F.pandas_udf("long")
     def prints(texts: pd.Series) -> pd.Series:
-        return pd.Series([[n_shingles(t, width), *fingerprints_of(t, width, tables=tables).view(np.int64).tolist()] for t in texts], dtype=object)
+        return pd.Series(np.array([fingerprint(t, width) for t in texts], np.uint64).view(np.int64))
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), prints("text").alias("p"))
-    return rows.select("doc_id", "text_hash", F.col("p")[0].alias("n"), F.col("p")[1].alias("fp"), F.slice("p", 2, tables).alias("fps"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), prints("text").alias("fp"))
 
 
 def _links(keys: np.ndarray, split: int, radius: int, top: int = BITS, wide: np.ndarray | None = None, limit: int = 0) -> np.ndarray:
-    """Star links (i, j) among keys (sorted uint64; the first ``split`` are node a, the rest node b;
-    split 0: one node joined with itself). Of the keys only the ``top`` bits count. With ``wide``, rows of
-    further fingerprints, a link also needs at most ``limit`` differing bits among all of those."""
-    n = len(keys)
+    """Links (i, j) that span the components among keys (sorted uint64; the first ``split`` are node a, the rest
+    node b; split 0: one node joined with itself); stars (node, root). Of the keys only the ``top`` bits count.
+    With ``wide``, rows of further fingerprints, a link also needs at most ``limit`` differing bits among all of
+    those, and is a pair that was compared."""
+    n, stars = len(keys), wide is None
     zeros: dict[int, np.ndarray] = {}
     root, run = np.arange(n), np.arange(1, n + 1)
     found: list[np.ndarray] = []
@@ -136,9 +143,10 @@ def _links(keys: np.ndarray, split: int, radius: int, top: int = BITS, wide: np.
         nonlocal fresh, found
         fresh = 0
         if found:
-            found = [_forest(np.concatenate(found), n)]
-            root[found[0][:, 0]] = found[0][:, 1]
-            root[found[0][:, 1]] = found[0][:, 1]
+            forest = _forest(np.concatenate(found), n)
+            found = [forest if stars else _spanning(np.concatenate(found), n)]
+            root[forest[:, 0]] = forest[:, 1]
+            root[forest[:, 1]] = forest[:, 1]
             cuts = np.flatnonzero(root[1:] != root[:-1]) + 1
             run[:] = np.append(cuts, n)[np.searchsorted(cuts, np.arange(n), "right")]
 
@@ -209,6 +217,22 @@ def _forest(links: np.ndarray, n: int) -> np.ndarray:
     return np.stack([nodes, root[nodes]], 1)
 
 
+def _spanning(links: np.ndarray, n: int) -> np.ndarray:
+    """Some of the links that connect what all of them do: each component takes one that leaves it, again and again."""
+    root, kept = np.arange(n), np.zeros(len(links), bool)
+    while True:
+        a, b = root[links].T
+        live = np.flatnonzero(a != b)
+        if not len(live):
+            return links[kept]
+        first = np.unique(np.concatenate([a[live], b[live]]), return_index=True)[1]
+        taken = np.unique(live[first % len(live)])
+        kept[taken] = True
+        step, forest = np.arange(n), _forest(np.stack([a[taken], b[taken]], 1), n)
+        step[forest[:, 0]] = forest[:, 1]
+        root = step[root]
+
+
 def trie_links(fps: DataFrame, radius: int = 3, node_size: int = NODE_SIZE, min_depth: int = MIN_DEPTH) -> DataFrame:
     """Links (a, b) between distinct fingerprints (column fp) that connect just the pairs at ``radius`` or fewer
     differing bits: every such pair is in one component of the links, and no component joins others."""
@@ -309,41 +333,42 @@ def _named(fp: np.ndarray, links: np.ndarray | None) -> pd.DataFrame:
 
 
 def bit_limit(similarity: float, tables: int = TABLES) -> int:
-    """Differing bits of all fingerprints that still count as similar: those expected of texts of one length with
-    this Jaccard similarity, and one standard deviation."""
-    bits, p = tables * BITS, math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
-    return int(bits * p + math.sqrt(bits * p * (1 - p)))
+    """The differing bits of all fingerprints that are expected of texts of one length with this Jaccard similarity."""
+    return int(tables * BITS * math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi)
 
 
-def similar_links(rows: DataFrame, similarity: float, node_size: int = NODE_SIZE) -> DataFrame:
-    """Links (a, b) between nodes of rows (fp: the node, n: its shingles, fps: its fingerprints) whose similarity
-    is estimated at ``similarity`` or more.
+def similar_links(rows: DataFrame, similarity: float, node_size: int = SIMILAR_NODE) -> DataFrame:
+    """Candidate links (a, b) between nodes of rows (fp: the node, n: its shingles, fps: its fingerprints): pairs
+    whose similarity is estimated at ``similarity`` or more, as many as connect all that are found.
 
-    A window holds the lengths of two neighbouring steps of 1/similarity (and a hundredth, for rounding), so
-    that each similar pair is in one window. A window of over ``node_size`` rows is cut into node pairs.
+    A window holds the lengths of two neighbouring steps of 1/similarity (and a hundredth, for rounding). A
+    window of over ``node_size`` rows is cut by the top bits of the trie's key, and a node of near copies that
+    is still larger into blocks. So tasks are bounded, and links across nodes are left to other tries and to the
+    caller.
     """
     limit, step = bit_limit(similarity), math.log(1.01 / similarity)
     size = F.floor(F.log(F.greatest("n", F.lit(1)).cast("double")) / F.lit(step)).cast("int")
     rows = rows.select("fp", "fps", F.explode(F.array(size - 1, size)).alias("win"))
     # one row per step of the lengths: at most a few hundred
     counts = rows.groupBy("win").count().collect()
-    deep = {r["win"]: min(16, math.ceil(math.log2(r["count"] / node_size))) for r in counts if r["count"] > node_size}
+    deep = {r["win"]: min(TOP, math.ceil(math.log2(r["count"] / node_size))) for r in counts if r["count"] > node_size}
     depth = F.coalesce(F.create_map(*[F.lit(x) for kv in deep.items() for x in kv])[F.col("win")], F.lit(0)) if deep else F.lit(0)
-    tries = rows.select("fp", "fps", "win", depth.alias("depth"), F.explode(F.sequence(F.lit(0), F.lit(TRIES - 1))).alias("trie"))
-    prefix = F.expr("CAST(CASE WHEN depth = 0 THEN 0 ELSE shiftrightunsigned(fps[trie], 64 - depth) END AS int)")
-    masks = F.expr(f"filter(sequence(0, shiftleft(1, depth) - 1), m -> bit_count(m) <= {RADIUS})")
-    dealt = _dealt(tries.select("fp", "fps", "win", "trie", prefix.alias("prefix"), F.explode(masks).alias("mask")))
+    tries = rows.select("fp", "fps", "win", depth.alias("depth"), F.explode(F.sequence(F.lit(0), F.lit(TABLES - 1))).alias("trie"))
+    prefix = F.expr("CAST(CASE WHEN depth = 0 THEN 0 ELSE shiftrightunsigned(fps[trie], 64 - depth) END AS int)").alias("node")
+    tries, key = tries.select("fp", "fps", "win", "trie", prefix), ["win", "trie", "node"]
+    if deep:
+        large = tries.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / node_size).cast("int").alias("blocks")).where("blocks > 1")
+        large = sized(materialize(large, "near-large"), 64)
+        tries = tries.join(large, key, "left").withColumn("block", F.coalesce(F.pmod(F.xxhash64("fp", "trie"), "blocks"), F.lit(0).cast("long"))).drop("blocks")
+        key = [*key, "block"]
 
     def join(pdf: pd.DataFrame) -> pd.DataFrame:
-        fp, second = pdf["fp"].to_numpy(np.int64), pdf["second"].to_numpy(bool)
-        if not _joins(pdf, second):
-            return _named(fp, None)
-        wide = np.stack(pdf["fps"].to_numpy()).view(np.uint64)
-        key = wide[:, pdf["trie"].iat[0]]
-        at = np.lexsort((key, second))
-        return _named(fp[at], _links(key[at], _split(pdf, second), RADIUS, TOP, wide[at], limit))
+        fp, wide = pdf["fp"].to_numpy(np.int64), np.stack(pdf["fps"].to_numpy()).view(np.uint64)
+        keys = wide[:, pdf["trie"].iat[0]]
+        at = np.argsort(keys, kind="stable")
+        return _named(fp[at], _links(keys[at], 0, RADIUS, TOP, wide[at], limit))
 
-    return _joined(dealt, ["win", "trie", "lo", "hi"], join, node_size, bool(deep))
+    return tries.groupBy(*key).applyInPandas(join, "a long, b long")
 
 
 def components(prints: DataFrame, links: DataFrame) -> DataFrame:
@@ -365,31 +390,16 @@ def simhash_classes(docs: DataFrame, width: int = 3, radius: int = 3) -> DataFra
     Null and empty texts have fingerprint zero. Repeated rows and ids are kept; rows without an id take
     part and only lack an id. An empty table gives an empty table; other columns are ignored.
     """
-    prints = materialize(fingerprints(docs, width).drop("n", "fps"), "simhash-docs")
+    prints = materialize(fingerprints(docs, width), "simhash-docs")
     links = trie_links(materialize(prints.select("fp").distinct(), "simhash-flat"), radius)
     return prints.join(components(prints, links), "fp").select("doc_id", "text_hash", "fp", "component_id", "component")
 
 
-def near_classes(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
-    """As ``simhash_classes``, but texts are linked whose shingles (repeats count) have a Jaccard similarity
-    estimated at ``similarity`` or more; fp names a distinct set of fingerprints."""
-    prints = fingerprints(docs, width, TABLES).withColumn("fp", F.xxhash64("fps"))
-    prints = materialize(prints, "near-docs")
-    links = similar_links(materialize(prints.select("fp", "n", "fps").distinct(), "near-flat"), similarity)
-    return prints.join(components(prints, links), "fp").select("doc_id", "text_hash", "fp", "component_id", "component")
-
-
 def simhash_dedup(docs: DataFrame, width: int = 3, radius: int = 3) -> DataFrame:
     """docs with one row of each component of ``simhash_classes``: see ``keep_one``."""
     return keep_one(docs, simhash_classes(docs, width, radius))
 
 
-def near_dedup(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
-    """docs with one row of each component of ``near_classes``: see ``keep_one``. An estimate; the pipeline compares
-    the shingles themselves (``jaccard.similar_dedup``)."""
-    return keep_one(docs, near_classes(docs, width, similarity))
-
-
 def keep_one(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """docs with one row of each component: the one of the smallest doc_id (of rows that repeat that id,
     the least text hash; of wholly equal rows, one). All columns of docs are kept."""
