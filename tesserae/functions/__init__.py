@@ -73,3 +73,32 @@ def crop_bounds(h: Column, w: Column, tile: int, border: int) -> list[Column]:
         n = F.greatest(F.lit(0), F.floor((size - 2 * border) / tile)).cast("int")
         out += [F.lit(border).alias(f"{axis}0"), (F.lit(border) + n * tile).cast("int").alias(f"{axis}1"), n.alias("rows" if axis == "y" else "cols")]
     return out
+
+
+def tile_origin(index: Column, tile: int, border: int = 0) -> Column:
+    """The first pixel of a tile along an axis."""
+    return (F.lit(border) + index * tile).cast("int")
+
+
+def capitalise(text: Column) -> Column:
+    """First letter in upper case, the others in lower case."""
+    return F.concat(F.upper(F.substring(text, 1, 1)), F.lower(F.substring(text, F.lit(2), F.length(text))))
+
+
+def clip(x: Column, low: float, high: float) -> Column:
+    """x within bounds; null stays null."""
+    return F.when(x < low, F.lit(low)).when(x > high, F.lit(high)).otherwise(x)
+
+
+def min_max(x: Column, low: Column, high: Column, eps: float = 1e-8) -> Column:
+    return (x - low) / (high - low + F.lit(eps))
+
+
+def blend(a: Column, b: Column, share: float = 0.5) -> Column:
+    """Two images' values mixed, clipped to bytes and cut to whole numbers."""
+    return F.floor(clip(a * (1.0 - share) + b * share, 0.0, 255.0)).cast("int")
+
+
+def repeat_cells(values: Column, times: int) -> Column:
+    """Each element of an array, ``times`` in a row."""
+    return F.flatten(F.transform(values, lambda v: F.array_repeat(v, times)))

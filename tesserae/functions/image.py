@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import io
+import struct
+import zlib
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
@@ -15,6 +18,17 @@ from pyspark.sql.types import BinaryType
 MEAN, STD = (0.485, 0.456, 0.406), (0.229, 0.224, 0.225)
 
 
+#: Bytes of an Arrow batch of images; FOVs are megabytes each.
+BATCH_BYTES = 64 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Bounds the bytes of the session's Arrow batches, unless they are bounded more tightly."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(key).lower().rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def demosaic(raw: np.ndarray) -> np.ndarray:
     """Bilinear RGB of a GR Bayer mosaic (even rows G R, odd rows B G); edges mirror."""
     h, w = raw.shape
@@ -80,6 +94,54 @@ def explode_tiles(scans: DataFrame, tile: int = 256, border: int = 0) -> DataFra
     return scans.select("slide", "fov_y", "fov_x", "h", "w", "raw").mapInPandas(rows, "slide string, fov_y int, fov_x int, pixel_y int, pixel_x int, pixels binary")
 
 
+def resize(rgb: np.ndarray, size: int) -> np.ndarray:
+    """Bytes of size x size, bicubic with antialiasing."""
+    x = np.einsum("ah,hwc,bw->abc", _cubic(rgb.shape[0], size), rgb.astype(np.float64), _cubic(rgb.shape[1], size))
+    return np.clip(np.round(x), 0, 255).astype(np.uint8)
+
+
+# Brightness, contrast, saturation (factors of 1 +- x) and hue (turns, +- x) of the two strengths.
+JITTER = {"mild": (0.05, 0.05, 0.05, 0.02), "strong": (0.25, 0.2, 0.3, 0.09)}
+
+
+def jitter(rgb: np.ndarray, draw: int, strength: str = "mild") -> np.ndarray:
+    """Brightness, contrast and saturation scaled, and hue turned, by factors from the draw's bytes."""
+    at = [((draw >> (8 * k)) & 255) / 127.5 - 1 for k in range(4)]
+    b, c, s, h = (x * a for x, a in zip(JITTER[strength], at))
+    grey = np.array([0.299, 0.587, 0.114])
+    x = np.clip(rgb.astype(np.float64) * (1 + b), 0, 255)
+    x = np.clip((x - (x @ grey).mean()) * (1 + c) + (x @ grey).mean(), 0, 255)
+    x = np.clip((x - (x @ grey)[..., None]) * (1 + s) + (x @ grey)[..., None], 0, 255)
+    if h:  # a turn about the grey axis
+        cos, sin = np.cos(2 * np.pi * h), np.sin(2 * np.pi * h)
+        turn = cos * np.eye(3) + (1 - cos) / 3 + sin / np.sqrt(3) * np.array([[0, -1, 1], [1, 0, -1], [-1, 1, 0]])
+        x = np.clip(x @ turn.T, 0, 255)
+    return np.round(x).astype(np.uint8)
+
+
+def train_transform(rgb: np.ndarray, draw: int, size: int = 224, strength: str = "mild") -> np.ndarray:
+    """Model input of a training patch: resized, flipped and turned, jittered, normalised, all by one draw."""
+    return preprocess(jitter(augment(resize(rgb, size), draw), draw >> 3, strength), size)
+
+
+def png(h: int, w: int, pixels: bytes) -> bytes:
+    """A PNG file of RGB bytes."""
+    rows = np.frombuffer(pixels, np.uint8).reshape(h, w * 3)
+    raw = np.concatenate([np.zeros((h, 1), np.uint8), rows], 1).tobytes()
+
+    def chunk(kind: bytes, data: bytes) -> bytes:
+        return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw, 6)) + chunk(b"IEND", b"")
+
+
+def contour(mask: np.ndarray) -> np.ndarray:
+    """The marked pixels with an unmarked neighbour (or the image's edge) beside, above or below."""
+    on = np.pad(mask > 0, 1)
+    inner = on[1:-1, :-2] & on[1:-1, 2:] & on[:-2, 1:-1] & on[2:, 1:-1]
+    return on[1:-1, 1:-1] & ~inner
+
+
 def block_mean(rgb: np.ndarray, out: int) -> np.ndarray:
     """Area downsample to out x out."""
     h, w = rgb.shape[:2]
@@ -95,19 +157,29 @@ def bgr_to_rgb(data: pd.Series) -> pd.Series:
     return data.map(lambda b: np.frombuffer(b, np.uint8).reshape(-1, 3)[:, ::-1].tobytes())
 
 
+def fit_mask(a: np.ndarray, h: int, w: int) -> bytes:
+    """0/255 bytes of h*w of a mask array: first channel, padded or cropped with zeros; marked means above zero."""
+    a = a[..., 0] if a.ndim == 3 else a
+    out = np.zeros((h, w), np.uint8)
+    part = a[:h, :w] > 0
+    out[: part.shape[0], : part.shape[1]] = part * 255
+    return out.tobytes()
+
+
 def load_mask(h: int, w: int) -> Callable:
-    """NPY bytes to 0/255 bytes of h*w: first channel, padded or cropped with zeros; marked means above zero."""
+    """NPY bytes to mask bytes: see ``fit_mask``."""
     @F.pandas_udf(BinaryType())
     def load(content: pd.Series) -> pd.Series:
-        def one(b: bytes) -> bytes:
-            a = np.load(io.BytesIO(b), allow_pickle=False)
-            a = a[..., 0] if a.ndim == 3 else a
-            out = np.zeros((h, w), np.uint8)
-            part = a[:h, :w] > 0
-            out[: part.shape[0], : part.shape[1]] = part * 255
-            return out.tobytes()
+        return content.map(lambda b: fit_mask(np.load(io.BytesIO(b), allow_pickle=False), h, w))
+
+    return load
+
 
-        return content.map(one)
+def mask_of_image(h: int, w: int) -> Callable:
+    """Decoded image columns (height, width, nChannels, data: BGR) to mask bytes; the first channel is red."""
+    @F.pandas_udf(BinaryType())
+    def load(height: pd.Series, width: pd.Series, channels: pd.Series, data: pd.Series) -> pd.Series:
+        return pd.Series([fit_mask(np.frombuffer(d, np.uint8).reshape(y, x, c)[..., : min(c, 3)][..., ::-1], h, w) for y, x, c, d in zip(height, width, channels, data)])
 
     return load
 
@@ -133,6 +205,34 @@ def logistic_scores(df: DataFrame, weights: list[float], bias: float, features:
 
     @F.pandas_udf("double")
     def score(x: pd.Series) -> pd.Series:
-        return pd.Series([1 / (1 + np.exp(-(float(np.dot(np.asarray(v, float), w)) + bias))) for v in x])
+        return pd.Series(1 / (1 + np.exp(-(np.stack(x.to_numpy()).astype(float) @ w + bias))) if len(x) else np.empty(0))
 
     return df.withColumn("score", score(features))
+
+
+@lru_cache(maxsize=4)
+def _weights(path: str) -> dict[str, np.ndarray]:
+    from ..sources.scan import filesystem
+
+    fs, at = filesystem(path)
+    with fs.open_input_file(at) as f:
+        held = np.load(io.BytesIO(f.read()), allow_pickle=False)
+        return {k.removeprefix("model."): held[k] for k in held.files}
+
+
+class Checkpoint:
+    """A stored classifier as a model for ``score_pixels``: an NPZ file with ``fc.weight`` and ``fc.bias`` of a logistic
+    layer on the flattened input. Only the path is shipped; a worker loads the file once, when it first scores."""
+
+    def __init__(self, path: str) -> None:
+        self.path = path
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        held = _weights(self.path)
+        z = x.reshape(len(x), -1).astype(np.float64) @ held["fc.weight"].reshape(-1) + float(held["fc.bias"].reshape(-1)[0])
+        return 1 / (1 + np.exp(-z))
+
+
+def infer(patches: DataFrame, model: Callable[[np.ndarray], np.ndarray], tile: int, batch: int = 64, size: int = 224) -> DataFrame:
+    """(label, score, and the other columns but the pixels) of labelled patches."""
+    return score_pixels(patches, model, tile, batch, size).drop("pixels")

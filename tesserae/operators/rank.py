@@ -24,7 +24,10 @@ def top_k_or_none(df: DataFrame, k: int, keys: list[str], score: str = "score")
 
 
 def best_fov(df: DataFrame, pos: str = "pos") -> DataFrame:
-    """Per slide the FOV of the largest mean score; of equals, the one seen first."""
-    means = df.groupBy("slide", "fov_y", "fov_x").agg(F.avg("score").alias("mean_score"), F.count(F.lit(1)).alias("n"), F.min(pos).alias("first_pos"))
-    best = F.max_by(F.struct("fov_y", "fov_x", "mean_score", "n"), F.struct("mean_score", -F.col("first_pos"))).alias("b")
+    """Per slide the FOV of the largest mean score over its tiles; of equals, the one seen first. Of rows that repeat
+    a tile (pixel_y, pixel_x) the last score counts."""
+    fov = ["slide", "fov_y", "fov_x"]
+    tiles = df.groupBy(*fov, "pixel_y", "pixel_x").agg(F.max_by("score", pos).alias("score"), F.min(pos).alias("first_pos"))
+    means = tiles.groupBy(*fov).agg(F.avg("score").alias("mean_score"), F.count(F.lit(1)).alias("n"), F.min("first_pos").alias("first_pos"))
+    best = F.min_by(F.struct("fov_y", "fov_x", "mean_score", "n"), F.struct(-F.col("mean_score"), "first_pos")).alias("b")
     return means.groupBy("slide").agg(best).select("slide", "b.*")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import bce, decide, ratio
@@ -67,31 +67,90 @@ def class_report(df: DataFrame, by: list[str] = (), threshold: float = 0.5) -> D
     return both.select(*by, F.explode(F.array("a", "b", macro, weighted)).alias("r")).select(*by, "r.*")
 
 
-def _by_score(df: DataFrame, by: list[str]) -> DataFrame:
-    """Labels counted per distinct score, so that ranking works on distinct scores, not rows."""
-    return df.groupBy(*by, "score").agg(F.count_if(F.col("label") == 1).alias("p"), F.count_if(F.col("label") == 0).alias("q"))
+def _score_range(score) -> Column:
+    """A number that never falls as the score rises: 256 ranges for each power of two, null first, NaN last. A range of
+    32-bit scores holds 32,768 distinct ones at most."""
+    x = score.cast("double")
+    size = F.floor(F.log2(F.least(F.abs(x), F.lit(1e308))) * 256) + 400_000
+    sign = F.when(x > 0, size).when(x < 0, -size).otherwise(F.lit(0))
+    return F.when(x.isNull(), F.lit(-1 << 40)).when(F.isnan(x), F.lit(1 << 40)).otherwise(sign)
+
+
+def _running(df: DataFrame, by: list[str], down: bool = False) -> DataFrame:
+    """Labels counted per distinct score (p, q), the counts up to and with each score in the order of scores (tp, fp),
+    and those of the group (np, nq). Distinct scores may be as many as rows: running counts are taken within ranges
+    of scores, and only the ranges' sums meet in one task of a group."""
+    counts = df.groupBy(*by, "score").agg(F.count_if(F.col("label") == 1).alias("p"), F.count_if(F.col("label") == 0).alias("q"))
+    ranged = counts.withColumn("__r", _score_range(F.col("score")) * (-1 if down else 1))
+    sums = ranged.groupBy(*by, "__r").agg(F.sum("p").alias("__p"), F.sum("q").alias("__q"))
+    group, zero = Window.partitionBy(*(by or [F.lit(1)])), F.lit(0).cast("long")
+    before = group.orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumns({"__bp": F.coalesce(F.sum("__p").over(before), zero), "__bq": F.coalesce(F.sum("__q").over(before), zero), "np": F.sum("__p").over(group), "nq": F.sum("__q").over(group)})
+    own = Window.partitionBy(*by, "__r").orderBy(F.desc("score") if down else F.asc("score")).rowsBetween(Window.unboundedPreceding, 0)
+    inside = ranged.withColumns({"tp": F.sum("p").over(own), "fp": F.sum("q").over(own)})
+    match = F.col("a.__r") == F.col("b.__r")
+    for c in by:
+        match = match & F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
+    out = inside.alias("a").join(sums.drop("__p", "__q").alias("b"), match)
+    return out.select(*[F.col(f"a.{c}").alias(c) for c in by], "score", "p", "q", (F.col("tp") + F.col("__bp")).alias("tp"), (F.col("fp") + F.col("__bq")).alias("fp"), "np", "nq")
 
 
 def auc(df: DataFrame, by: list[str] = ()) -> DataFrame:
     """Area under the ROC curve; ties count half; null where a class is absent. Negatives below each score
     come from a running sum over distinct scores."""
     by = list(by)
-    w = Window.partitionBy(*(by or [F.lit(1)])).orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = _by_score(df, by).withColumn("below", F.coalesce(F.sum("q").over(w), F.lit(0).cast("long")))
-    won = F.sum(F.col("p") * (F.col("below") + F.col("q") / F.lit(2.0)))
-    return ranked.groupBy(*by).agg(F.try_divide(won, F.sum("p").cast("double") * F.sum("q").cast("double")).alias("auc"))
+    won = F.sum(F.col("p") * (F.col("fp") - F.col("q") / F.lit(2.0)))
+    return _running(df, by).groupBy(*by).agg(F.try_divide(won, F.max("np").cast("double") * F.max("nq").cast("double")).alias("auc"))
 
 
 def roc_points(df: DataFrame, by: list[str] = ()) -> DataFrame:
     """(threshold, tp, fp, tpr, fpr) at each distinct score, and the origin at threshold infinity."""
     by = list(by)
-    part = by or [F.lit(1)]
-    down = Window.partitionBy(*part).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*part)
-    counts = _by_score(df, by).select(*by, F.col("score").cast("double").alias("threshold"), F.sum("p").over(down).alias("tp"), F.sum("q").over(down).alias("fp"), F.sum("p").over(whole).alias("np"), F.sum("q").over(whole).alias("nq"))
-    origin = counts.groupBy(*by).agg(F.max("np").alias("np"), F.max("nq").alias("nq")).select(*by, F.lit(float("inf")).alias("threshold"), F.lit(0).cast("long").alias("tp"), F.lit(0).cast("long").alias("fp"), "np", "nq")
+    zero = F.lit(0).cast("long")
+    first = (F.col("tp") == F.col("p")) & (F.col("fp") == F.col("q"))
+    origin = F.struct(F.lit(float("inf")).alias("threshold"), zero.alias("tp"), zero.alias("fp"))
+    point = F.struct("threshold", "tp", "fp")
+    marked = _running(df, by, down=True).withColumn("threshold", F.col("score").cast("double"))
+    counts = marked.withColumn("points", F.when(first, F.array(origin, point)).otherwise(F.array(point))).select(*by, F.explode("points").alias("x"), "np", "nq").select(*by, "x.*", "np", "nq")
     rate = lambda a, b: F.try_divide(F.col(a).cast("double"), F.col(b).cast("double"))
-    return counts.unionByName(origin).select(*by, "threshold", "tp", "fp", rate("tp", "np").alias("tpr"), rate("fp", "nq").alias("fpr"))
+    return counts.select(*by, "threshold", "tp", "fp", rate("tp", "np").alias("tpr"), rate("fp", "nq").alias("fpr"))
+
+
+class EpochMetrics:
+    """Metrics of epochs that arrive in parts: ``update`` appends the part's counts to a table at path, ``compute`` adds
+    them up, ``reset`` forgets all. What is kept of a part is one row per distinct score, batch sums beside."""
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.spark, self.path = spark, path
+
+    def update(self, part: DataFrame, epoch: int, split: str) -> None:
+        """part: scored rows (label, score) of one or more batches, and ``batch`` if the loss is to be per batch."""
+        batch = F.col("batch").cast("string") if "batch" in part.columns else F.lit("0")
+        kept = part.groupBy(batch.alias("batch"), "label", "score").agg(F.count(F.lit(1)).alias("n"))
+        kept.select(F.lit(epoch).alias("epoch"), F.lit(split).alias("split"), "batch", "label", "score", "n").write.mode("append").parquet(self.path)
+
+    def _state(self) -> DataFrame:
+        """The counts of epochs since their last reset."""
+        rows = self.spark.read.schema("epoch int, split string, batch string, label int, score double, n long").parquet(self.path)
+        return rows.where("n > 0")
+
+    def compute(self) -> DataFrame:
+        """(epoch, split, loss: mean of the batches' means, auroc, acc, recall)."""
+        by = ["epoch", "split"]
+        rows = self._state().withColumn("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))).drop("row", "n")
+        loss = bce_loss(rows, "batch", by).select(*by, "loss")
+        metrics = binary_metrics(rows, by).select(*by, F.col("accuracy").alias("acc"), "recall")
+        return loss.join(auc(rows, by).withColumnRenamed("auc", "auroc"), by).join(metrics, by).select(*by, "loss", "auroc", "acc", "recall")
+
+    def reset(self) -> None:
+        """Forgets all parts."""
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def throughput(n: int, seconds: float) -> float:
+    """Rows a second, of a time of a millionth at least."""
+    return n / max(seconds, 1e-6)
 
 
 def bce_loss(df: DataFrame, batch: str, by: list[str] = ()) -> DataFrame:

@@ -14,6 +14,31 @@ def attach_scores(features: DataFrame, tiles: DataFrame, keys: list[str]) -> Dat
     return lookup.attach(features, tiles.select(*keys, "score", "pos"), keys, "score")
 
 
+def score_bags(tiles: DataFrame, features: DataFrame, matches: DataFrame, model, tile: int, size: int = 224) -> tuple[DataFrame, DataFrame]:
+    """(scored, mapped): tiles of bags (slide, bag, pos, keys, pixels) with their score and without pixels; and
+    feature rows (slide, feature, keys) with the score of the bag whose feature file they are in, 0 where that has
+    none. matches (bag, feature) as of ``lookup.feature_files``. Persist or write scored before using mapped."""
+    from ..functions.image import score_pixels
+
+    keys = ["fov_y", "fov_x", "pixel_y", "pixel_x"]
+    scored = score_pixels(tiles, model, tile, size=size).drop("pixels")
+    own = features.join(matches, "feature")
+    return scored, lookup.attach(own, scored.select("slide", "bag", *keys, "score", "pos"), ["slide", "bag", *keys], "score")
+
+
+def join_slide_scores(csv: DataFrame, bags: DataFrame, features: DataFrame, matches: DataFrame, name: str = "blurred_rs") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(bags, features, skipped): CSV score rows (slide, keys, score, pos) joined onto the tiles of bags (slide, bag, keys)
+    and onto the rows of the bags' feature files (slide, feature, keys), all slides at once; and the slides that have
+    no scores, whose rows are left out."""
+    keys = ["slide", "fov_y", "fov_x", "pixel_y", "pixel_x"]
+    known = csv.select("slide").distinct()
+    build = csv.select(*keys, F.col("score").alias(name), "pos")
+    onto = lambda rows: lookup.attach(rows.join(known, "slide", "left_semi"), build, keys, name)
+    skipped = bags.select("slide").distinct().join(known, "slide", "left_anti")
+    own = bags.select("slide", "bag").distinct().join(matches, "bag").select("slide", "feature").distinct()
+    return onto(bags), onto(features.join(own, ["slide", "feature"], "left_semi")), skipped
+
+
 def slide_report(tiles: DataFrame, k: int = 20) -> dict[str, DataFrame]:
     """What is reported about scored slides. Persist tiles first if they are costly."""
     keys = ["fov_y", "fov_x", "pixel_y", "pixel_x", "pos"]

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +13,8 @@ from .. import functions as fn
 from ..operators import grid, lookup, mask, overlap, rank, split, stats
 from ..schema import KEY
 from ..sources import tables
-from . import extract_patches, make_splits, views
+from . import extract_patches, make_splits, pixels, views
+from . import join_slide_scores as join_scores
 from .views import with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -107,7 +110,8 @@ def top6(spark, d):
 
 
 @query(
-    """, m AS (SELECT slide, fov_y, fov_x, avg(score) AS mean_score, count(*) AS n, min(pos) AS first_pos FROM tiles GROUP BY ALL)
+    """, t AS (SELECT slide, fov_y, fov_x, pixel_y, pixel_x, arg_max(score, pos) AS score, min(pos) AS pos FROM tiles GROUP BY ALL),
+m AS (SELECT slide, fov_y, fov_x, avg(score) AS mean_score, count(*) AS n, min(pos) AS first_pos FROM t GROUP BY ALL)
 SELECT slide, fov_y, fov_x, round(mean_score, 6) AS mean_score, n FROM m QUALIFY row_number() OVER (PARTITION BY slide ORDER BY mean_score DESC, first_pos) = 1""",
     "tiles",
 )
@@ -348,16 +352,16 @@ def existing_anti(spark, d):
     return lookup.not_yet(p, p.where("doc_id % 3 = 0"), ["filepath"]).select("doc_id", "filepath")
 
 
-@query("SELECT slide, fov_y, fov_x, pixel_y, pixel_x, pos, line FROM tiles WHERE line <= 2 UNION ALL SELECT slide, fov_y, fov_x, pixel_y, pixel_x, pos, line FROM tiles WHERE line = 3", "tiles")
+@query("SELECT slide, fov_y, fov_x, pixel_y, pixel_x, pos, line FROM tiles WHERE line <= 2 UNION ALL SELECT slide, fov_y, fov_x, pixel_y, pixel_x, pos, line FROM tiles WHERE line > 2", "tiles")
 def bag_union(spark, d):
     t = views.tiles(spark, d).select(*KEY, "pos", "line")
-    return t.where("line <= 2").unionByName(t.where("line = 3"))
+    return t.where("line <= 2").unionByName(t.where("line > 2"))
 
 
-@query("SELECT slide FROM tiles WHERE line = 1 UNION SELECT slide FROM tiles WHERE line = 2", "tiles")
+@query("SELECT slide, fov_y FROM tiles WHERE line <= 3 UNION SELECT slide, fov_y FROM tiles WHERE line >= 3", "tiles")
 def union_distinct(spark, d):
     t = views.tiles(spark, d)
-    return t.where("line = 1").select("slide").union(t.where("line = 2").select("slide")).distinct()
+    return t.where("line <= 3").select("slide", "fov_y").union(t.where("line >= 3").select("slide", "fov_y")).distinct()
 
 
 @query("SELECT l_partkey AS slide, arg_min('dir' || l_linenumber || '/' || l_partkey, l_linenumber) AS path FROM lineitem GROUP BY l_partkey")
@@ -387,6 +391,11 @@ def feature_match_prefix(spark, d):
     return lookup.feature_files(*_bags(spark, d), match="prefix")
 
 
+@query(_MATCH.replace(", b AS", "WITH b AS", 1) + "SELECT DISTINCT bag, feature FROM b JOIN f ON starts_with(feature, 'features_' || bag)")
+def feature_match_plain(spark, d):
+    return lookup.feature_files(*_bags(spark, d), match="plain")
+
+
 @query("SELECT p_brand, p_brand || '_' || lpad(CAST(max(p_size) + 1 AS VARCHAR), 3, '0') AS name FROM part GROUP BY p_brand")
 def next_name(spark, d):
     names = tables(spark, d, "part").select("p_brand", F.concat("p_brand", F.lit("_"), F.lpad(F.col("p_size").cast("string"), 3, "0")).alias("dir"))
@@ -427,3 +436,152 @@ def min_max_normalise(spark, d):
     ends = t.groupBy("slide").agg(F.min("score").alias("lo0"), F.max("score").alias("hi0"))
     x = (F.col("score") - F.col("lo0")) / (F.col("hi0") - F.col("lo0") + 1e-8)
     return t.join(ends, "slide").groupBy("slide", "fov_y", "fov_x").agg(F.min("score").alias("lo"), F.max("score").alias("hi"), F.round(F.sum(x), ROUND).alias("total"))
+
+
+# Pixels. The native value of a pixel is that of the channel that its place in the mosaic measures: the raw value.
+
+
+def _native(rgb):
+    """Native values of an RGB image whose first pixel is a green one of a red row."""
+    y, x = np.indices(rgb.shape[:2])
+    channel = np.where(y % 2 == x % 2, 1, np.where(y % 2 == 0, 0, 2))
+    return np.take_along_axis(rgb, channel[..., None], 2)[..., 0].astype(np.int64)
+
+
+def _green(windows):
+    """A model: the mean of the measured greens of RGB windows that begin at a green pixel, as a share of white."""
+    y, x = np.indices(windows.shape[1:3])
+    return windows[:, y % 2 == x % 2, 1].astype(np.int64).sum(1) / (255.0 * (y % 2 == x % 2).sum())
+
+
+def _kept(spark, d) -> DataFrame:
+    return pixels.kept_tiles(views.scans(spark, d), views.TILE_PX, views.BORDER_PX, views.masks(spark, d), shape=views.GRID)
+
+
+@query(
+    """ SELECT t.slide, t.fov_y, t.fov_x, pixel_y, pixel_x, CAST(sum(v) AS BIGINT) AS native FROM kept t JOIN raw r ON r.k = t.k AND r.y BETWEEN pixel_y AND pixel_y + 7 AND r.x BETWEEN pixel_x AND pixel_x + 7
+GROUP BY ALL""",
+    "fovs raw kept",
+)
+def kept_tiles(spark, d):
+    @F.pandas_udf("long")
+    def native(data: pd.Series) -> pd.Series:
+        return data.map(lambda b: int(_native(np.frombuffer(b, np.uint8).reshape(views.TILE_PX, views.TILE_PX, 3)).sum()))
+
+    return _kept(spark, d).select(*KEY, native("pixels").alias("native"))
+
+
+@query(
+    """, p AS (SELECT *, CAST(s % 14 AS INTEGER) AS y0, CAST(k % 13 AS INTEGER) AS x0, least(8, 18 - s % 14) AS ph, least(8, 18 - k % 13) AS pw FROM fovs WHERE s % 4 IN (1, 2))
+SELECT p.slide || '__fovr' || p.fov_y || '-fovc' || p.fov_x || '__pr' || (p.s % 5) || '-pc' || (p.k % 7) || '.jpg' AS filepath, CAST(p.s % 4 - 1 AS INTEGER) AS label, CAST(pw AS INTEGER) AS h, CAST(ph AS INTEGER) AS w,
+  CAST(sum(v * ((pw - 1 - (x - x0)) * 31 + (y - y0))) AS BIGINT) AS digest
+FROM p JOIN raw r ON r.k = p.k AND r.y BETWEEN y0 AND y0 + ph - 1 AND r.x BETWEEN x0 AND x0 + pw - 1 GROUP BY ALL""",
+    "fovs raw",
+)
+def cut_patches(spark, d):
+    a = views.annotations(spark, d)
+    cut = pixels.cut_patches(a, views.scans(spark, d), 8)
+    at = extract_patches(a).select("filepath", F.col("top_left_px_x").alias("y0"), F.col("top_left_px_y").alias("x0"))
+
+    @F.pandas_udf("long")
+    def digest(h: pd.Series, w: pd.Series, y0: pd.Series, x0: pd.Series, data: pd.Series) -> pd.Series:
+        out = []
+        for a, b, y, x, p in zip(h, w, y0, x0, data):
+            turned = np.rot90(np.frombuffer(p, np.uint8).reshape(a, b, 3), -1)
+            whole = np.zeros((18, 18, 3), np.uint8)
+            whole[y : y + b, x : x + a] = turned
+            native = np.rot90(_native(whole)[y : y + b, x : x + a])
+            i, j = np.indices(native.shape)
+            out.append(int((native * (i * 31 + j)).sum()))
+        return pd.Series(out, dtype="int64")
+
+    return cut.join(at, "filepath").select("filepath", "label", "h", "w", digest("h", "w", "y0", "x0", "pixels").alias("digest"))
+
+
+@query(
+    """, t AS (SELECT t.slide, t.fov_y, t.fov_x, sum(CASE WHEN (y - pixel_y) % 2 = (x - pixel_x) % 2 THEN v END) AS g FROM kept t JOIN raw r ON r.k = t.k AND r.y BETWEEN pixel_y AND pixel_y + 7 AND r.x BETWEEN pixel_x AND pixel_x + 7
+  GROUP BY t.slide, t.fov_y, t.fov_x, pixel_y, pixel_x),
+m AS (SELECT slide, fov_y, fov_x, avg(g) AS g FROM t GROUP BY ALL), best AS (SELECT slide, fov_y, fov_x FROM m QUALIFY row_number() OVER (PARTITION BY slide ORDER BY round(g, 4) DESC, fov_y, fov_x) = 1),
+w AS (SELECT f.*, 2 + 4 * a.i AS i, 2 + 4 * b.i AS j FROM fovs f SEMI JOIN best USING (slide, fov_y, fov_x) CROSS JOIN range(2) a(i) CROSS JOIN range(2) b(i)
+  WHERE NOT (s % 4 = 0 AND s % 18 BETWEEN 2 + 4 * a.i AND 9 + 4 * a.i AND k % 18 BETWEEN 2 + 4 * b.i AND 9 + 4 * b.i)),
+ws AS (SELECT w.slide, w.fov_y, w.fov_x, i, j, sum(v) / (255.0::DOUBLE * 32) AS score FROM w JOIN raw r ON r.k = w.k AND r.y BETWEEN i AND i + 7 AND r.x BETWEEN j AND j + 7 AND r.y % 2 = r.x % 2 GROUP BY ALL),
+c AS (SELECT f.slide, f.fov_y, f.fov_x, y.i AS cell_y, x.i AS cell_x FROM (SELECT DISTINCT slide, fov_y, fov_x FROM ws) f CROSS JOIN range(3) y(i) CROSS JOIN range(3) x(i))
+SELECT c.slide, c.fov_y, c.fov_x, CAST(cell_y AS INTEGER) AS cell_y, CAST(cell_x AS INTEGER) AS cell_x, round(coalesce(avg(score), 0), 6) AS score, count(score) AS n
+FROM c LEFT JOIN ws ON ws.slide = c.slide AND ws.fov_y = c.fov_y AND ws.fov_x = c.fov_x AND (ws.i - 2) // 4 BETWEEN cell_y - 1 AND cell_y AND (ws.j - 2) // 4 BETWEEN cell_x - 1 AND cell_x GROUP BY ALL""",
+    "fovs raw kept",
+)
+def rescore_best(spark, d):
+    @F.pandas_udf("double")
+    def green(data: pd.Series) -> pd.Series:
+        return pd.Series(_green(np.stack([np.frombuffer(b, np.uint8).reshape(views.TILE_PX, views.TILE_PX, 3) for b in data])) if len(data) else np.empty(0))
+
+    # whole sums, so that equal means are equal
+    scored = _kept(spark, d).withColumn("score", F.round(green("pixels") * 255 * 32).cast("double")).withColumn("pos", F.col("fov_y") * 100 + F.col("fov_x"))
+    return _r(pixels.rescore_best(scored, views.scans(spark, d), _green, views.FOV_PX, views.FOV_PX, views.TILE_PX, 4, 2, views.masks(spark, d)), "score")
+
+
+@query(
+    "SELECT slide, fov_y, fov_x, CAST(s % 18 // 6 AS INTEGER) AS tile_y, CAST(k % 18 // 6 AS INTEGER) AS tile_x FROM fovs WHERE s % 4 = 0",
+    "fovs",
+)
+def marked_tiles(spark, d):
+    @F.pandas_udf("array<int>")
+    def marks(data: pd.Series) -> pd.Series:
+        return data.map(lambda b: np.flatnonzero(np.frombuffer(b, np.uint8)).astype(np.int32))
+
+    at = views.masks(spark, d).select("slide", "fov_y", "fov_x", F.explode(marks("mask")).alias("at"))
+    return mask.marked_tiles(at.select("slide", "fov_y", "fov_x", F.floor(F.col("at") / views.FOV_PX).alias("y"), (F.col("at") % views.FOV_PX).alias("x"), F.lit(255).alias("value")), 6)
+
+
+@query(
+    "SELECT m.slide, m.fov_y, m.fov_x, CAST(m.s % 18 AS INTEGER) AS y, CAST(m.k % 18 AS INTEGER) AS x FROM fovs m WHERE s % 4 = 0",
+    "fovs",
+)
+def mask_contours(spark, d):
+    return pixels.mask_contours(views.masks(spark, d), views.FOV_PX, views.FOV_PX)
+
+
+@query("SELECT slide, CAST((max(fov_y) + 1) * 6 AS INTEGER) AS h, CAST((max(fov_x) + 1) * 6 AS INTEGER) AS w, count(*) AS fovs FROM fovs GROUP BY slide", "fovs")
+def mosaics(spark, d):
+    """The size of each slide's picture, and its FOVs by the thumbnails in it that are not black."""
+    @F.pandas_udf("long")
+    def filled(h: pd.Series, w: pd.Series, data: pd.Series) -> pd.Series:
+        return pd.Series([int(np.frombuffer(b, np.uint8).reshape(y // 6, 6, x // 6, 6, 3).any((1, 3, 4)).sum()) for y, x, b in zip(h, w, data)])
+
+    return pixels.mosaic(pixels.thumbnails(views.scans(spark, d), 6)).select("slide", "h", "w", filled("h", "w", "pixels").alias("fovs"))
+
+
+@query(
+    """SELECT f.slide, f.fov_y, f.fov_x, CAST(y.i AS INTEGER) AS tile_y, CAST(x.i AS INTEGER) AS tile_x, coalesce(l.score, 0) AS score
+FROM (SELECT DISTINCT slide, fov_y, fov_x FROM last) f CROSS JOIN range(16) y(i) CROSS JOIN range(16) x(i)
+LEFT JOIN last l ON l.slide = f.slide AND l.fov_y = f.fov_y AND l.fov_x = f.fov_x AND l.tile_y = y.i // 2 AND l.tile_x = x.i // 2""",
+    "tiles last",
+)
+def tile_grid_scaled(spark, d):
+    return grid.dense_scores(_last(spark, d), 8, 8, scale=2)
+
+
+@query("SELECT pos, CAST(3 + pixel_y // 256 * 250 AS INTEGER) AS y, CAST(3 + pixel_x // 256 * 250 AS INTEGER) AS x FROM tiles", "tiles")
+def tile_origins(spark, d):
+    at = lambda c: fn.tile_origin(fn.tile_index(F.col(c), 256), 250, 3)
+    return views.tiles(spark, d).select("pos", at("pixel_y").alias("y"), at("pixel_x").alias("x"))
+
+
+@query("SELECT p_partkey, upper(p_name[1]) || lower(p_name[2:]) AS name, CAST(floor(least(255, greatest(0, p_size * 20 * 0.5::DOUBLE + (p_size - 25) * 0.5::DOUBLE))) AS INTEGER) AS mixed, [p_size, p_size, p_size % 3, p_size % 3] AS cells FROM part")
+def text_and_value_functions(spark, d):
+    size = F.col("p_size")
+    return tables(spark, d, "part").select("p_partkey", fn.capitalise(F.col("p_name")).alias("name"), fn.blend(size * 20, size - 25).alias("mixed"), fn.repeat_cells(F.array(size, size % 3), 2).alias("cells"))
+
+
+@query(
+    """, c AS (SELECT slide, fov_y, fov_x, pixel_y, pixel_x, arg_max(round(score, 6), pos) AS score FROM tiles WHERE slide <> 's0' GROUP BY ALL)
+SELECT f.slide, f.fov_y, f.fov_x, f.pixel_y, f.pixel_x, f.pos, CAST(coalesce(c.score, 0) AS FLOAT) AS blurred_rs, c.score IS NOT NULL AS matched
+FROM features f LEFT JOIN c USING (slide, fov_y, fov_x, pixel_y, pixel_x) WHERE f.slide <> 's0'""",
+    "tiles features",
+)
+def join_slide_scores(spark, d):
+    """Scores of all slides but one, whose bags are skipped."""
+    t = views.tiles(spark, d)
+    f = views.features(spark, d).withColumn("bag", F.lit("bag_1"))
+    matches = spark.createDataFrame([("bag_1", "features_bag_1")], "bag string, feature string")
+    return join_scores(t.where("slide <> 's0'").select(*KEY, F.round("score", 6).alias("score"), "pos"), f, f.withColumn("feature", F.lit("features_bag_1")).drop("bag"), matches)[1].drop("feature")
