@@ -1,27 +1,34 @@
 """Content-addressed store of token ids.
 
-Layout of a store (all Parquet tables below one folder of the shared space):
-
-* ``chunks``: digest, n, payload. Payload: the chunk's ids, little-endian unsigned, ``id_bytes`` each.
-  Every distinct chunk is stored once.
-* ``recipes``: documents in ascending doc_id order (range-partitioned and sorted): doc_id, start, n_tokens,
-  the chunk digests and lengths in order, and the document's leaf of the Merkle tree.
+A document's id stream is its tokens and the end id. It is cut where a rolling hash of the last 16 ids has its
+low bits zero, so that shared passages give shared chunks wherever they lie; chunks have at most ``MAX_CHUNK`` ids.
+
+Layout of a store (below one folder of the shared space; a home is a run of documents in ascending doc_id order, of
+``HOME_IDS`` ids, numbered in that order):
+
+* ``recipes`` (Parquet, range-partitioned and sorted, so its files hold the documents in ascending order): doc_id,
+  n_tokens, the chunk digests and lengths in order, the home, and the document's leaf of the Merkle tree. ``parts``
+  has the documents and ids before each file.
+* ``packs``: files of chunk payloads (little-endian unsigned ids of ``id_bytes`` each). Every distinct chunk is stored
+  once, in the pack of the first home that uses it, in the order of its first use.
+* ``chunks``: digest, n, home, file, offset. ``borrowed``: the digests that a home takes from the packs of others.
 * ``manifest``: the Merkle tree above the leaves, level by level, up to one root.
 
-A document's id stream is its tokens and the end id. It is cut where a rolling hash of the last 16 ids
-has its low bits zero, so that shared passages give shared chunks wherever they lie; chunks have at most
-``MAX_CHUNK`` ids. Payloads are never shuffled: tasks write what they cut, metadata decides which copy of
-a chunk stays, and reading back checks each chunk's digest, each leaf and the root.
+Tokenizing tasks write raw files of payloads and metadata; payloads are never shuffled, but copied by byte ranges
+into the packs of their homes. Reading takes a home at a time: its pack, whole, and the chunks it borrows; each
+chunk's digest, each leaf and the root are checked, and the id streams are joined again.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import unicodedata
+import uuid
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -29,11 +36,16 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, materialize, scratch, sized
+from .common import arrow_rows, materialize, scratch
+from .warc_zip import filesystem
 
 END_ID = 1
 MASK_BITS, MIN_CHUNK, MAX_CHUNK = 9, 64, 4096
 FANOUT = 1024
+#: Ids of a home, bytes of a raw file, and chunks that a task fetches for others at once.
+HOME_IDS, RAW_BYTES, FETCH = 8 << 20, 64 << 20, 8192
+#: A raw file's bytes are read in one piece where no gap between two wanted chunks is larger.
+GAP = 1 << 16
 #: Words kept in a worker's cache.
 CACHE_WORDS = 600_000
 _WINDOW = 16
@@ -49,8 +61,22 @@ def _byte_chars() -> dict[int, str]:
     return table
 
 
+#: What the short cut of ``WordEncoder`` relies on in a tokenizer's file.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_PIECES = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+_PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": _PIECES}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
+
 class WordEncoder:
-    """Ids of whole texts for tokenizers that drop white space and never join across it.
+    """Ids of whole texts, quickly for tokenizers that drop white space and never join across it.
+
+    A tokenizer of another normalizer, pre-tokenizer or model than expected is run on whole texts (``exact``).
 
     Texts are cut at blanks and line feeds. Words are kept in a bounded cache. Words of letters only in
     normal form, and the marks that end them, go to the BPE model itself; all others through the whole
@@ -62,6 +88,8 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        told = json.loads(self.tokenizer.to_str())
+        self.by_words = told["normalizer"] == _NORMALIZER and told["pre_tokenizer"] == _PRE_TOKENIZER and told["model"]["type"] == "BPE" and not told["model"]["dropout"] and told["truncation"] is None
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.chars = _byte_chars()
         self.cache: dict[str, bytes] = {}
@@ -89,7 +117,7 @@ class WordEncoder:
 
     def ids(self, text: str | None) -> np.ndarray:
         text = text or ""
-        if any(a in text for a in self.added):
+        if not self.by_words or any(a in text for a in self.added):
             return self.exact(text)
         low = text.lower()
         # lower case comes after normal form: both orders agree where both texts are in normal form
@@ -158,21 +186,46 @@ def _merkle(nodes: DataFrame, spark: SparkSession) -> DataFrame:
         now = materialize(now.groupBy(parent.alias("__p")).applyInPandas(up, "position long, hash binary"), f"store-merkle{level}")
 
 
-def prefix_sums(rows: DataFrame, size: str, order: list, label: str) -> DataFrame:
-    """rows, range-partitioned and sorted by order, with ``position`` and ``start`` (sum of ``size`` before).
-    Only one sum of each partition goes through a single task."""
-    spark = rows.sparkSession
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    dealt = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    dealt = materialize(dealt.withColumn("__p", F.spark_partition_id()).withColumn("__o", F.monotonically_increasing_id()), label)
-    sums = dealt.groupBy("__p").agg(F.sum(size).alias("s"), F.count(F.lit(1)).alias("c"))
-    w = Window.partitionBy(F.lit(1)).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
-    zero = F.lit(0).cast("long")
-    sums = sums.select(F.col("__p").alias("__q"), F.coalesce(F.sum("s").over(w), zero).alias("__s"), F.coalesce(F.sum("c").over(w), zero).alias("__c"))
-    own = Window.partitionBy("__p").orderBy("__o")
-    out = dealt.withColumn("__b", F.coalesce(F.sum(size).over(own.rowsBetween(Window.unboundedPreceding, -1)), zero)).withColumn("__r", F.row_number().over(own) - 1)
-    out = out.join(F.broadcast(sums), F.col("__p") == F.col("__q"))
-    return out.select(*rows.columns, (F.col("__b") + F.col("__s")).alias("start"), (F.col("__r") + F.col("__c")).alias("position"))
+def _order() -> list:
+    return [F.col("doc_id").asc_nulls_first(), F.col("digests")]
+
+
+class _Raw:
+    """Raw files of one task: payloads end to end, a new file after ``RAW_BYTES``."""
+
+    def __init__(self, folder: str) -> None:
+        self.fs, self.root = filesystem(folder)
+        self.fs.create_dir(self.root, recursive=True)
+        self.out, self.name, self.at = None, "", 0
+
+    def add(self, payload: bytes) -> tuple[str, int]:
+        if self.out is None or self.at >= RAW_BYTES:
+            self.close()
+            self.name, self.at = uuid.uuid4().hex, 0
+            self.out = self.fs.open_output_stream(f"{self.root}/{self.name}")
+        at, self.at = self.at, self.at + len(payload)
+        self.out.write(payload)
+        return self.name, at
+
+    def close(self) -> None:
+        if self.out is not None:
+            self.out.close()
+            self.out = None
+
+
+def _ranges(fs, path: str, offsets: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+    """The byte ranges of a file, in the order given; neighbours are read together."""
+    order = np.argsort(offsets, kind="stable")
+    begin, end = offsets[order], offsets[order] + sizes[order]
+    cut = np.flatnonzero(begin[1:] - np.maximum.accumulate(end)[:-1] > GAP) + 1
+    out: list[bytes] = [b""] * len(order)
+    with fs.open_input_file(path) as f:
+        for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(order)]):
+            low = int(begin[a])
+            held = f.read_at(int(end[a:b].max()) - low, low)
+            for k in range(a, b):
+                out[order[k]] = held[begin[k] - low : end[k] - low]
+    return out
 
 
 def write_store(docs: DataFrame, tokenizer_path: str, path: str | None = None, end_id: int = END_ID, id_bytes: int = 2) -> str:
@@ -181,14 +234,16 @@ def write_store(docs: DataFrame, tokenizer_path: str, path: str | None = None, e
     Null and empty texts are streams of the end id alone. Rows that repeat an id are documents of their
     own, in the order of their recipes; null ids come first. An empty table makes a store without
     documents. Other columns are ignored. ``id_bytes`` 2 serves vocabularies up to 65,536 ids.
+
+    Files that a lost task leaves have names of their own and are in no table; raw files go when the store is whole.
     """
     spark = docs.sparkSession
     arrow_rows(spark, 256)
-    path = path or scratch(spark, "store")
+    path, raw_path = path or scratch(spark, "store"), scratch(spark, "store-raw-files")
     kind = np.dtype(f"<u{id_bytes}")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc, sent = encoder(tokenizer_path), set()
+        enc, sent, raw = encoder(tokenizer_path), set(), _Raw(raw_path)
         for pdf in batches:
             rows = []
             for doc_id, text in zip(pdf["doc_id"], pdf["text"]):
@@ -204,120 +259,179 @@ def write_store(docs: DataFrame, tokenizer_path: str, path: str | None = None, e
                     if digest not in sent:
                         if len(sent) < 1 << 18:
                             sent.add(digest)
-                        rows.append((None, None, None, None, digest, payload))
-                rows.append((doc_id, len(ids), b"".join(digests), np.array(lengths, "<i4").tobytes(), None, None))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_tokens", "digests", "lengths", "digest", "payload"]).astype({"n_tokens": "Int64"})
-
-    raw = materialize(docs.select(F.col("doc_id").cast("string"), "text").mapInPandas(cut, "doc_id string, n_tokens long, digests binary, lengths binary, digest binary, payload binary"), "store-raw")
-    # which copy of a chunk stays: the first, by file and row
-    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
-    copies = raw.where("digest IS NOT NULL").select("digest", place.alias("place"))
-    twice = copies.groupBy("digest").agg(F.min("place").alias("own"), F.count(F.lit(1)).alias("c")).where("c > 1").select("digest", "own")
-    twice = sized(materialize(twice, "store-twice"), 256)
-    chunks = raw.where("digest IS NOT NULL").select("digest", "payload", place.alias("place"))
-    chunks = chunks.join(twice, "digest", "left").where("own IS NULL OR own = place")
-    chunks.select("digest", (F.length("payload") / id_bytes).cast("int").alias("n"), "payload").write.parquet(f"{path}/chunks")
-
-    docs_in = raw.where("digest IS NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "n_tokens", "digests", "lengths")
-    recipes = prefix_sums(docs_in, "n_tokens", [F.col("doc_id").asc_nulls_first(), F.col("digests")], "store-recipes")
-
-    def leaves(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pdf.assign(leaf=[_leaf(i, n, d) for i, n, d in zip(pdf["doc_id"], pdf["n_tokens"], pdf["digests"])])
-
-    named = recipes.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(leaves, "doc_id string, n_tokens long, digests binary, lengths binary, start long, position long, leaf binary")
-    named.withColumn("doc_id", F.col("doc_id").cast("long")).write.parquet(f"{path}/recipes")
-    nodes = spark.read.parquet(f"{path}/recipes").select("position", F.col("leaf").alias("hash"))
-    _merkle(nodes, spark).where("level > 0").write.parquet(f"{path}/manifest")
+                        rows.append((None, None, None, None, digest, *raw.add(payload)))
+                rows.append((doc_id, len(ids), b"".join(digests), np.array(lengths, "<i4").tobytes(), None, None, None))
+            yield pd.DataFrame(rows, columns=["doc_id", "n_tokens", "digests", "lengths", "digest", "file", "offset"]).astype({"n_tokens": "Int64", "offset": "Int64"})
+        raw.close()
+
+    kinds = "doc_id string, n_tokens long, digests binary, lengths binary, digest binary, file string, offset long"
+    raw = materialize(docs.select(F.col("doc_id").cast("string"), "text").mapInPandas(cut, kinds), "store-raw")
+    _write_recipes(raw, path)
+    homes = materialize(_uses(spark.read.parquet(f"{path}/recipes")), "store-uses")
+
+    # each chunk is owned by the first home that uses it, and copied there from one of its raw copies
+    owner = homes.groupBy("digest").agg(F.min("home").alias("owner"))
+    homes = materialize(homes.join(owner, "digest"), "store-owners")
+    copy = raw.where("digest IS NOT NULL").groupBy("digest").agg(F.min(F.struct("file", "offset")).alias("c")).select("digest", F.col("c.file").alias("file"), F.col("c.offset").alias("offset"))
+    own = homes.where("home = owner").select("digest", "home", "at", "n").join(copy, "digest")
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("at").reset_index(drop=True)
+        fs, raw_root = filesystem(raw_path)
+        _, root = filesystem(f"{path}/packs")
+        fs.create_dir(root, recursive=True)
+        sizes, parts = pdf["n"].to_numpy(np.int64) * id_bytes, [b""] * len(pdf)
+        for name, some in pdf.groupby("file"):
+            for k, payload in zip(some.index, _ranges(fs, f"{raw_root}/{name}", some["offset"].to_numpy(np.int64), sizes[some.index])):
+                parts[k] = payload
+        file = f"{pdf['home'].iat[0]:016x}-{uuid.uuid4().hex}"
+        with fs.open_output_stream(f"{root}/{file}") as out:
+            out.write(b"".join(parts))
+        return pd.DataFrame({"digest": pdf["digest"], "n": pdf["n"], "home": pdf["home"], "file": file, "offset": np.cumsum(sizes) - sizes})
+
+    own.groupBy("home").applyInPandas(pack, "digest binary, n int, home long, file string, offset long").write.parquet(f"{path}/chunks")
+    homes.where("home != owner").select("home", "digest").write.parquet(f"{path}/borrowed")
+    _merkle(_leaves(spark, path), spark).where("level > 0").write.parquet(f"{path}/manifest")
+    at = spark._jvm.org.apache.hadoop.fs.Path(raw_path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
     return path
 
 
-@lru_cache(maxsize=1)
-def _shift_tables() -> np.ndarray:
-    """[p, byte, value]: what 2**p appended zero bytes make of a crc32 that has value in that byte."""
-    step = np.zeros(32, np.uint32)
-    for bit in range(32):
-        c = 1 << bit
-        for _ in range(8):
-            c = (c >> 1) ^ (0xEDB88320 if c & 1 else 0)
-        step[bit] = c
-
-    def image(m: np.ndarray, v: np.ndarray) -> np.ndarray:
-        out = np.zeros_like(v)
-        for k in range(32):
-            out ^= np.where(v >> np.uint32(k) & np.uint32(1), m[k], np.uint32(0)).astype(np.uint32)
-        return out
-
-    values, tables = np.arange(256, dtype=np.uint32), []
-    for _ in range(40):
-        tables.append([image(step, values << np.uint32(8 * b)) for b in range(4)])
-        step = image(step, step)
-    return np.array(tables, np.uint32)
-
-
-def crc_shift(crc: np.ndarray, zeros: np.ndarray) -> np.ndarray:
-    """The raw crc32 register after so many appended zero bytes. The crc32 of strings end to end is the
-    exclusive or of each one's crc32, shifted by the bytes that follow it."""
-    tables, out = _shift_tables(), crc.astype(np.uint32)
-    for p in range(int(zeros.max(initial=0)).bit_length()):
-        on = np.flatnonzero(zeros >> p & 1)
-        v, t = out[on], tables[p]
-        out[on] = t[0][v & 255] ^ t[1][v >> np.uint32(8) & np.uint32(255)] ^ t[2][v >> np.uint32(16) & np.uint32(255)] ^ t[3][v >> np.uint32(24)]
-    return out
+def _write_recipes(raw: DataFrame, path: str) -> None:
+    """``recipes`` and ``parts``. Documents are sorted by ranges of doc_id, and numbered as they are written: within
+    their partition, whose sums are added later, so nothing is shuffled again and files stay in order."""
+    spark = raw.sparkSession
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    rows = raw.where("digest IS NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "n_tokens", "digests", "lengths")
+    dealt = rows.repartitionByRange(parts, *_order()).sortWithinPartitions(*_order())
+    dealt = dealt.withColumns({"part": F.spark_partition_id(), "doc_id": F.col("doc_id").cast("string")})
 
+    def number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        row = ids = 0
+        for pdf in batches:
+            n = pdf["n_tokens"].to_numpy(np.int64)
+            begin = ids + np.cumsum(n) - n
+            leaf = [_leaf(i, n, d) for i, n, d in zip(pdf["doc_id"], pdf["n_tokens"], pdf["digests"])]
+            yield pdf.assign(row=np.arange(row, row + len(n)), begin=begin, home=(pdf["part"].to_numpy(np.int64) << 32) + begin // HOME_IDS, leaf=leaf)
+            row, ids = row + len(n), ids + int(n.sum())
 
-def read_store(spark: SparkSession, path: str, id_bytes: int = 2) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of every document, from the store's files.
+    kinds = "doc_id string, n_tokens long, digests binary, lengths binary, part int, row long, begin long, home long, leaf binary"
+    dealt.mapInPandas(number, kinds).withColumn("doc_id", F.col("doc_id").cast("long")).write.parquet(f"{path}/recipes")
+    sums = spark.read.parquet(f"{path}/recipes").groupBy("part").agg(F.sum("n_tokens").alias("s"), F.count(F.lit(1)).alias("c"))
+    w, zero = Window.partitionBy(F.lit(1)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1), F.lit(0).cast("long")
+    sums.select("part", F.coalesce(F.sum("c").over(w), zero).alias("rows_before"), F.coalesce(F.sum("s").over(w), zero).alias("ids_before")).write.parquet(f"{path}/parts")
 
-    Every chunk's digest, every recipe's leaf and lengths, and the Merkle root are verified; a chunk that
-    is missing or altered raises.
-    """
-    arrow_rows(spark, 1024)
-    kind = np.dtype(f"<u{id_bytes}")
 
-    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            crc = []
-            for digest, payload in zip(pdf["digest"], pdf["payload"]):
-                if hashlib.blake2b(payload, digest_size=16).digest() != digest:
-                    raise ValueError("a chunk does not match its digest")
-                crc.append(zlib.crc32(np.frombuffer(payload, kind).astype("<u4").tobytes()))
-            yield pd.DataFrame({"digest": pdf["digest"], "n": pdf["n"], "crc": np.array(crc, np.int64)})
+def _recipes(spark: SparkSession, path: str) -> DataFrame:
+    """The recipes with ``position`` and ``start`` in the whole store."""
+    # one row per range partition of the writer
+    parts = F.broadcast(spark.read.parquet(f"{path}/parts"))
+    rows = spark.read.parquet(f"{path}/recipes").join(parts, "part")
+    return rows.withColumns({"position": F.col("rows_before") + F.col("row"), "start": F.col("ids_before") + F.col("begin")})
+
 
-    chunks = spark.read.parquet(f"{path}/chunks").mapInPandas(verify, "digest binary, n int, crc long")
-    recipes = spark.read.parquet(f"{path}/recipes")
+def _leaves(spark: SparkSession, path: str) -> DataFrame:
+    return _recipes(spark, path).select("position", F.col("leaf").alias("hash"))
+
+
+def _uses(recipes: DataFrame) -> DataFrame:
+    """(digest, home, at, n): the chunks that each home uses, once, by the place of their first use."""
 
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = []
-            for i, n, d, lens, at, leaf in zip(pdf["doc_id"], pdf["n_tokens"], pdf["digests"], pdf["lengths"], pdf["position"], pdf["leaf"]):
-                if _leaf(i, n, d) != leaf:
-                    raise ValueError("a recipe does not match its leaf")
-                left = n
+            digests, seen = [], set()
+            homes, at, sizes = [], [], []
+            for home, begin, d, lens in zip(pdf["home"].tolist(), pdf["begin"].tolist(), pdf["digests"], pdf["lengths"]):
                 for k, m in enumerate(np.frombuffer(lens, "<i4").tolist()):
-                    left -= m
-                    out.append((at, d[16 * k : 16 * k + 16], m, left))
-                if left:
-                    raise ValueError("a recipe's chunks do not add up to its tokens")
-            yield pd.DataFrame(out, columns=["position", "digest", "m", "after"])
+                    key = home, d[16 * k : 16 * k + 16]
+                    if key not in seen:
+                        seen.add(key)
+                        homes.append(home)
+                        digests.append(key[1])
+                        at.append(begin)
+                        sizes.append(m)
+                    begin += m
+            yield pd.DataFrame({"digest": digests, "home": homes, "at": at, "n": sizes})
+
+    rows = recipes.select("home", "begin", "digests", "lengths").mapInPandas(spread, "digest binary, home long, at long, n int")
+    return rows.groupBy("digest", "home").agg(F.min("at").alias("at"), F.first("n").alias("n"))
 
-    uses = recipes.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(spread, "position long, digest binary, m int, after long").join(chunks, "digest", "left")
-    crc = F.when(F.col("n") == F.col("m"), F.col("crc")).otherwise(F.raise_error(F.lit("a chunk is missing or of another length")))
 
-    @F.pandas_udf("long")
-    def shifted(crc: pd.Series, after: pd.Series) -> pd.Series:
-        return pd.Series(crc_shift(crc.to_numpy(np.int64), after.to_numpy(np.int64)).astype(np.int64))
+def read_streams(spark: SparkSession, path: str, each: Callable[[np.ndarray], tuple], kinds: str, id_bytes: int = 2) -> DataFrame:
+    """doc_id, start, n_tokens of every document, and the columns (``kinds``) that ``each`` makes of its ids.
 
-    crcs = uses.select("position", shifted(crc, F.col("after") * 4).alias("c")).groupBy("position").agg(F.bit_xor("c").alias("ids_crc32"))
+    Streams are joined from the chunks of the store's packs. Every chunk's digest, every recipe's leaf and lengths,
+    and the Merkle root are verified; a chunk that is missing or altered raises."""
+    arrow_rows(spark, 1024)
+    kind = np.dtype(f"<u{id_bytes}")
+    names = [x.split()[0] for x in kinds.split(",")]
+    chunks = spark.read.parquet(f"{path}/chunks")
+
+    def checked(digest: bytes, payload: bytes) -> bytes:
+        if hashlib.blake2b(payload, digest_size=16).digest() != digest:
+            raise ValueError("a chunk does not match its digest")
+        return payload
+
+    def fetch(pdf: pd.DataFrame) -> pd.DataFrame:
+        fs, root = filesystem(f"{path}/packs")
+        first = pdf.drop_duplicates("digest")
+        held = _ranges(fs, f"{root}/{pdf['file'].iat[0]}", first["offset"].to_numpy(np.int64), first["n"].to_numpy(np.int64) * id_bytes)
+        known = {d: checked(d, p) for d, p in zip(first["digest"], held)}
+        return pd.DataFrame({"home": pdf["home"], "digest": pdf["digest"], "payload": [known[d] for d in pdf["digest"]]})
+
+    # a pack that many homes borrow from is read by several tasks
+    wanted = spark.read.parquet(f"{path}/borrowed").join(chunks.drop("home"), "digest")
+    shares = wanted.groupBy("file").agg(F.ceil(F.count(F.lit(1)) / FETCH).alias("shares"))
+    wanted = wanted.join(shares, "file").withColumn("share", F.pmod(F.xxhash64("home"), "shares"))
+    lent = wanted.groupBy("file", "share").applyInPandas(fetch, "home long, digest binary, payload binary")
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("file", "string"), ("offset", "long"), ("n", "int"))]
+    pieces = chunks.select("home", "digest", F.lit(None).cast("binary").alias("payload"), "file", "offset", "n").unionByName(lent.select("home", "digest", "payload", *none))
+
+    def join(recipes: pd.DataFrame, pieces: pd.DataFrame) -> pd.DataFrame:
+        fs, root = filesystem(f"{path}/packs")
+        held = {}
+        for file, some in pieces[pieces["file"].notna()].groupby("file"):
+            found = _ranges(fs, f"{root}/{file}", some["offset"].to_numpy(np.int64), some["n"].to_numpy(np.int64) * id_bytes)
+            held |= {d: checked(d, p) for d, p in zip(some["digest"], found)}
+        lent = pieces[pieces["payload"].notna()]
+        held |= {d: checked(d, p) for d, p in zip(lent["digest"], lent["payload"])}
+        out = []
+        for i, n, d, lens, leaf in zip(recipes["doc_id"], recipes["n_tokens"].tolist(), recipes["digests"], recipes["lengths"], recipes["leaf"]):
+            if _leaf(i, n, d) != leaf:
+                raise ValueError("a recipe does not match its leaf")
+            parts = [held.get(d[k : k + 16]) for k in range(0, len(d), 16)]
+            if None in parts or [len(x) // id_bytes for x in parts] != np.frombuffer(lens, "<i4").tolist():
+                raise ValueError("a chunk is missing or of another length")
+            ids = np.frombuffer(b"".join(parts), kind)
+            if len(ids) != n:
+                raise ValueError("a recipe's chunks do not add up to its tokens")
+            out.append(each(ids))
+        made = recipes[["doc_id", "start", "n_tokens"]].reset_index(drop=True)
+        for k, name in enumerate(names):
+            made[name] = [x[k] for x in out]
+        return made
+
+    recipes = _recipes(spark, path).select("home", F.col("doc_id").cast("string").alias("doc_id"), "start", "n_tokens", "digests", "lengths", "leaf")
     check_manifest(spark, path)
-    return recipes.select("position", "doc_id", "start", "n_tokens").join(crcs, "position").select("doc_id", "start", "n_tokens", "ids_crc32")
+    rows = recipes.groupBy("home").cogroup(pieces.groupBy("home")).applyInPandas(join, f"doc_id string, start long, n_tokens long, {kinds}")
+    return rows.withColumn("doc_id", F.col("doc_id").cast("long"))
+
+
+def read_store(spark: SparkSession, path: str, id_bytes: int = 2) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 (of the ids as little-endian unsigned 32-bit integers) of every document: see
+    ``read_streams``."""
+    return read_streams(spark, path, lambda ids: (zlib.crc32(ids.astype("<u4").tobytes()),), "ids_crc32 long", id_bytes)
+
+
+def read_ids(spark: SparkSession, path: str, id_bytes: int = 2) -> DataFrame:
+    """doc_id, start, n_tokens, ids of every document: see ``read_streams``."""
+    return read_streams(spark, path, lambda ids: (ids.astype(np.int64),), "ids array<long>", id_bytes)
 
 
 def check_manifest(spark: SparkSession, path: str) -> None:
     """Recomputes the tree over the recipes' leaves and compares its nodes with the manifest's."""
-    leaves = spark.read.parquet(f"{path}/recipes").select("position", F.col("leaf").alias("hash"))
     kept = spark.read.parquet(f"{path}/manifest").select("level", "position", "hash")
-    made = _merkle(materialize(leaves, "store-leaves"), spark).where("level > 0").select("level", "position", "hash")
+    made = _merkle(materialize(_leaves(spark, path), "store-leaves"), spark).where("level > 0").select("level", "position", "hash")
     same = made.join(kept.withColumnRenamed("hash", "kept"), ["level", "position"], "full").where("NOT (hash <=> kept)")
     if not same.isEmpty():
         raise ValueError("the recipes do not match the Merkle manifest")

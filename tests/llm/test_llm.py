@@ -473,16 +473,18 @@ def test_boundary_rule():
 # 7
 
 
-def test_token_store(spark, odd, none):
+def whole_ids(rows):
+    """The ids of whole texts by the tokenizer itself, with the end id."""
     from tokenizers import Tokenizer
 
+    tokenizer = Tokenizer.from_file(queries.tokenizer_path("word_bpe_49k.json"))
+    return [(i, [*tokenizer.encode(text or "", add_special_tokens=False).ids, 1]) for i, text in rows]
+
+
+def test_token_store(spark, odd, none):
     path = queries.tokenizer_path("word_bpe_49k.json")
-    tokenizer = Tokenizer.from_file(path)
     store = token_store.write_store(odd, path)
-    want = Counter()
-    for i, text, *_ in odd_rows():
-        ids = np.array(tokenizer.encode(text or "", add_special_tokens=False).ids + [1], "<u4")
-        want[(i, len(ids), zlib.crc32(ids.tobytes()))] += 1
+    want = Counter((i, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())) for i, ids in whole_ids([r[:2] for r in odd_rows()]))
     got = token_store.read_store(spark, store).collect()
     assert Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in got) == want
     rows, at = sorted(got, key=lambda r: r.start), 0
@@ -490,36 +492,83 @@ def test_token_store(spark, odd, none):
     for r in rows:
         assert r.start == at
         at += r.n_tokens
-    chunks = spark.read.parquet(f"{store}/chunks")
-    assert chunks.count() == chunks.select("digest").distinct().count()
     assert token_store.read_store(spark, token_store.write_store(none, path)).count() == 0
 
 
+def test_token_store_gives_all_ids_back(spark, monkeypatch):
+    """All documents of sf0.01 in no order, in many files and homes of a few thousand ids."""
+    monkeypatch.setattr(token_store, "HOME_IDS", 4000)
+    monkeypatch.setattr(token_store, "RAW_BYTES", 30_000)
+    monkeypatch.setattr(token_store, "FETCH", 50)
+    docs = materialize(table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text").repartition(9), "docs")
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    try:
+        store = token_store.write_store(docs, queries.tokenizer_path("word_bpe_49k.json"))
+        got = sorted((r.start, r.doc_id, list(r.ids), r.n_tokens) for r in token_store.read_ids(spark, store).collect())
+        crc = {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in token_store.read_store(spark, store).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+    want, at = sorted(whole_ids([(r.doc_id, r.text) for r in docs.collect()])), 0
+    assert [(i, ids) for _, i, ids, _ in got] == want
+    for start, i, ids, n in got:
+        assert (start, n) == (at, len(ids)) and crc[i] == (at, n, zlib.crc32(np.array(ids, "<u4").tobytes()))
+        at += n
+    # the files of the recipes, by name, hold the documents in ascending order
+    folder = pathlib.Path(store.removeprefix("file://"))
+    files = sorted(folder.glob("recipes/*.parquet"))
+    ids = [i for f in files for i in duckdb.sql(f"SELECT doc_id FROM read_parquet('{f}')").fetchnumpy()["doc_id"].tolist()]
+    assert len(files) > 4 and ids == [i for i, _ in want]
+    # so do the packs: each distinct chunk once, in the order of its first use
+    chunks = spark.read.parquet(f"{store}/chunks").collect()
+    assert len(chunks) == len({bytes(r.digest) for r in chunks}) and len({r.file for r in chunks}) > 20
+    sizes = {f.name: f.stat().st_size for f in folder.glob("packs/*") if not f.name.startswith(".")}
+    assert sum(sizes.values()) == 2 * sum(r.n for r in chunks)
+    digests, cut = [], {}
+    for _, i, s, _ in got:
+        a, last = np.array(s, np.uint32), 0
+        for end in token_store.cuts(a):
+            d = hashlib.blake2b(a[last:end].astype("<u2").tobytes(), digest_size=16).digest()
+            cut.setdefault(d, a[last:end].astype("<u2").tobytes())
+            last = end
+    packed = b"".join((folder / "packs" / name).read_bytes() for name in sorted(sizes))
+    assert packed == b"".join(cut.values())
+
+
+def test_word_encoder_guards_its_tokenizer(tmp_path):
+    """Another tokenizer is run on whole texts."""
+    from tokenizers import Tokenizer
+
+    ours = queries.tokenizer_path("word_bpe_49k.json")
+    other = queries.tokenizer_path("byte_bpe_50k.json")
+    assert token_store.WordEncoder(ours).by_words and not token_store.WordEncoder(other).by_words
+    text = "Two  Words, don't  JOIN\n\nétÉ 123"
+    for path in (ours, other):
+        assert token_store.WordEncoder(path).ids(text).tolist() == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+
+
 def test_token_store_notices_damage(spark, sf):
     path = queries.tokenizer_path("word_bpe_49k.json")
     store = token_store.write_store(table(spark, sf, "documents").limit(20), path)
-    chunks = materialize(spark.read.parquet(f"{store}/chunks"), "c")
-    chunks.withColumn("payload", F.concat(F.lit(b"\x05"), F.expr("substring(payload, 2)"))).write.mode("overwrite").parquet(f"{store}/chunks")
+    folder = pathlib.Path(store.removeprefix("file://"))
+    pack = max(folder.glob("packs/[0-9a-f]*"), key=lambda f: f.stat().st_size)
+    whole = pack.read_bytes()
+    crc = pack.parent / f".{pack.name}.crc"
+    crc.unlink(missing_ok=True)
+    pack.write_bytes(bytes([whole[0] ^ 5]) + whole[1:])
     with pytest.raises(Exception, match="digest"):
         token_store.read_store(spark, store).collect()
+    pack.write_bytes(whole)
+    chunks = materialize(spark.read.parquet(f"{store}/chunks"), "c")
     chunks.orderBy("digest").limit(chunks.count() - 1).write.mode("overwrite").parquet(f"{store}/chunks")
     with pytest.raises(Exception, match="missing"):
         token_store.read_store(spark, store).collect()
     recipes = materialize(spark.read.parquet(f"{store}/recipes"), "r")
-    recipes.where("position > 0").write.mode("overwrite").parquet(f"{store}/recipes")
+    recipes.where("part + row > 0").write.mode("overwrite").parquet(f"{store}/recipes")
     with pytest.raises(ValueError, match="Merkle"):
         token_store.read_store(spark, store)
 
 
-def test_crc_parts():
-    rng = np.random.default_rng(0)
-    data = rng.integers(0, 256, 5000, dtype=np.uint8).tobytes()
-    cuts = [0, 7, 7, 900, 4096, 5000]
-    parts = [data[a:b] for a, b in zip(cuts, cuts[1:])]
-    crc = token_store.crc_shift(np.array([zlib.crc32(p) for p in parts]), np.array([5000 - b for b in cuts[1:]]))
-    assert int(np.bitwise_xor.reduce(crc)) == zlib.crc32(data)
-
-
 # 8
 
 
