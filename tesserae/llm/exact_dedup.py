@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, scratch, sized
+from .common import join_groups, materialize, scratch, sized
 
 _STORE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -28,8 +28,6 @@ _STORE = {
 FILES_PER_BATCH = 4096
 #: Copies that are compared with one copy of the held content.
 PER_KEY = 64
-#: A digest with more than one of HOT_PARTS of all rows is hot; so there are at most HOT_PARTS of them.
-HOT_PARTS = 10_000
 _NO_ID = -(1 << 63)
 
 
@@ -76,17 +74,6 @@ def _is_kept() -> Column:
     return (F.col("file") == F.col("keep_file")) & (F.col("row") == F.col("keep_row"))
 
 
-def _hits(rows: DataFrame, many: DataFrame) -> DataFrame:
-    """rows with what is held of their digest, if that is in many (materialized)."""
-    few = sized(many, 128)
-    if few is not many:
-        return rows.join(few, "digest")
-    least = (many.agg(F.sum("n")).first()[0] or 0) / HOT_PARTS
-    hot = F.broadcast(many.where(F.col("n") > least))
-    rest = rows.join(hot.select("digest"), "digest", "left_anti").join(many.where(F.col("n") <= least), "digest")
-    return rows.join(hot, "digest").unionByName(rest)
-
-
 def exact_dedup(spark: SparkSession, path: str, digest=text_digest, checkpoint: str | None = None) -> DataFrame:
     """One row per row of the Parquet files at path (doc_id, text): doc_id, keep_id, group_size, kept, text_sha256.
 
@@ -100,7 +87,7 @@ def exact_dedup(spark: SparkSession, path: str, digest=text_digest, checkpoint:
 
     # hits: compare whole contents with the content that the locator names
     many = materialize(held.where("n > 1"), "dedup-many")
-    hits = _hits(rows, many).withColumn("salts", F.ceil(F.col("n") / PER_KEY).cast("int"))
+    hits = join_groups(rows, many, "digest", "n", 128).withColumn("salts", F.ceil(F.col("n") / PER_KEY).cast("int"))
     salt = F.pmod(F.xxhash64("file", "row"), F.col("salts")).cast("int")
     first = hits.where(_is_kept()).select("digest", F.col("text").alias("held_text"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
     checked = hits.withColumn("salt", salt).join(first, ["digest", "salt"], "left")

@@ -126,11 +126,17 @@ def mix(docs: DataFrame, seed: int = 42, weights=WEIGHTS, share: float = SHARE,
 
 
 def apply_mix(docs: DataFrame, seed: int = 42, weights=WEIGHTS, share: float = SHARE, cap: int = CAP) -> DataFrame:
-    """docs with each row as often as the mix takes it, to the nearest whole number (0 to cap times);
-    all columns stay. Rows that repeat both id and text get the mean of what is taken of them."""
+    """docs with each row as often as the mix takes it (0 to cap times); all columns stay.
+
+    What is taken of a document is a share of its words; it is rounded up or down by a seeded threshold of its own, so
+    that copies are expected to equal that share, however long the document is. Documents without words, null texts
+    among them, have no share and go. Rows that repeat both id and text get the mean of what is taken of them; a
+    null id or source is one like any other. An empty table gives an empty table."""
     taken = mix(docs, seed, weights, share, cap)
-    times = taken.groupBy(F.col("doc_id").alias("__i"), F.col("text_hash").alias("__h"), F.col("source").alias("__s")).agg(F.avg(F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(0.0)).alias("__t"))
-    times = materialize(times.select("__i", "__h", "__s", F.floor(F.col("__t") + 0.5).cast("int").alias("__t")), "mix-times")
+    part = F.avg(F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(0.0))
+    times = taken.groupBy(F.col("doc_id").alias("__i"), F.col("text_hash").alias("__h"), F.col("source").alias("__s")).agg(part.alias("__t"))
+    threshold = _number(seeded(seed + 1, F.col("__i"), F.col("__h"))) / float(1 << 32)
+    times = materialize(times.select("__i", "__h", "__s", F.floor(F.col("__t") + threshold).cast("int").alias("__t")), "mix-times")
     match = docs["doc_id"].eqNullSafe(times["__i"]) & (F.xxhash64(docs["text"]) == times["__h"]) & docs["source"].eqNullSafe(times["__s"])
     out = docs.join(sized(times, 48), match)
     return out.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), F.col("__t")))).select(*docs.columns)

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, materialize, scratch, sized
+from .common import arrow_rows, join_groups, materialize, scratch
 
 REVISIT_LEAST = 1000
 PACKAGE_BYTES = 16 << 20
@@ -172,20 +172,26 @@ def parse_record(raw: bytes) -> dict:
 
 def plan_revisits(pages: DataFrame, least: int = REVISIT_LEAST) -> DataFrame:
     """pages (page_id, url, html) with refers_to: of equal payloads of at least ``least`` bytes, the largest
-    page_id is the response that the others refer to."""
+    page_id is the response that the others refer to. Pages without an id refer to it too; rows that repeat that id
+    are all responses. Null payloads are empty."""
     body = F.coalesce("html", F.lit("")).cast("binary")
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
-    marked = pages.withColumn("sha", F.sha2(body, 256)).withColumn("size", F.octet_length(body))
-    groups = marked.where(F.col("size") >= least).groupBy("sha").agg(F.max("page_id").alias("last"), F.count(F.lit(1)).alias("c"))
-    groups = sized(materialize(groups.where("c > 1").select(F.col("sha").alias("__sha"), "last"), "warc-groups"), 80)
-    out = marked.join(groups, F.col("sha") == F.col("__sha"), "left")
+    size = F.octet_length(body)
+    # smaller payloads have no digest, so no group
+    marked = pages.withColumn("sha", F.when(size >= least, F.sha2(body, 256)))
+    groups = marked.where("sha IS NOT NULL").groupBy("sha").agg(F.max("page_id").alias("last"), F.count(F.lit(1)).alias("c"))
+    groups = materialize(groups.where("c > 1"), "warc-groups")
+    out = join_groups(marked, groups, "sha", "c", 80, "left")
     return out.select("page_id", "url", "html", F.when(~F.col("page_id").eqNullSafe(F.col("last")), F.col("last")).alias("refers_to"))
 
 
 def write_packages(pages: DataFrame, path: str, package_bytes: int = PACKAGE_BYTES, zip64: bool = False) -> DataFrame:
     """Writes pages (page_id, url, html, refers_to) as packages below path; returns their names (package, n).
 
-    A task that is run again writes under new names; only the packages named in the result count."""
+    Nulls: an html is an empty payload, a url ``urn:none``, a page_id is written as none, and no refers_to makes a
+    response. Repeated rows are records of their own; an empty table gives no package; other columns are ignored.
+    A page is in one record, however long. A task that is run again writes under new names; only the packages named
+    in the result count."""
     arrow_rows(pages.sparkSession)
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -219,7 +225,10 @@ def write_packages(pages: DataFrame, path: str, package_bytes: int = PACKAGE_BYT
 
 def read_packages(spark: SparkSession, packages: DataFrame, path: str) -> DataFrame:
     """Every record of the named packages (column package, below path): page_id, url, payload_bytes,
-    payload_digest, record_type, refers_to. Responses are checked against their digests."""
+    payload_digest, record_type, refers_to. Responses are checked against their digests.
+
+    An id that was written as none is null; a package named twice is read twice; no packages give an empty table; a
+    package that is damaged or missing raises."""
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fs, root = filesystem(path)

@@ -205,6 +205,46 @@ def test_toxicity(spark, odd, none):
     assert toxicity.fit(odd, nulls).score("x") in (pytest.approx(0, abs=1e-9), pytest.approx(1))
 
 
+def plain_grams(text, lengths):
+    clean = f" {' '.join((text or '').lower().split())} "
+    return {clean[k : k + n] for n in lengths for k in range(len(clean) - n + 1)}
+
+
+def test_fit_equals_a_plain_refit(spark):
+    """Ratios, the chosen n-grams, the optimum of the regression and every score, computed anew from strings."""
+    rng, lengths, l2, size = random.Random(14), (2, 3), 1e-2, 1000
+    bad, good = ["idiot", "stupid", "ugly"], ["nice", "river", "cloud", "music", "table"]
+    rows = []
+    for k in range(160):
+        toxic = rng.random() < 0.4
+        rows.append((k, " ".join(rng.choice(good) for _ in range(rng.randrange(2, 12))) + (f" {rng.choice(bad)}" if toxic or rng.random() < 0.1 else ""), int(toxic)))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels, lengths, vocabulary=size, least_df=2, l2=l2)
+    seen = [(plain_grams(t, lengths), y) for k, t, y in rows if zlib.crc32(str(k).encode()) % 5]
+    pos, neg = sum(y for _, y in seen), sum(1 - y for _, y in seen)
+    p, q = Counter(g for s, y in seen if y for g in s), Counter(g for s, y in seen if not y for g in s)
+    chi = {g: (p[g] * neg - q[g] * pos) ** 2 / ((p[g] + q[g]) * (pos + neg - p[g] - q[g] + 1)) for g in {*p, *q} if p[g] + q[g] >= 2}
+    # the vocabulary holds all of them, for ties at a cut are broken by hashes
+    order = sorted(chi)
+    grams = order
+    assert len(model.hashes) == len(grams) <= size
+    r = {g: math.log((p[g] + 1) / sum(p[x] + 1 for x in grams)) - math.log((q[g] + 1) / sum(q[x] + 1 for x in grams)) for g in grams}
+    x = np.array([[r[g] if g in s else 0.0 for g in grams] + [1.0] for s, _ in seen])
+    y = np.array([v for _, v in seen], float)
+    w, pen = np.zeros(x.shape[1]), np.append(np.full(len(grams), l2), 0.0)
+    for _ in range(60):  # Newton's method
+        z = 1 / (1 + np.exp(-x @ w))
+        g = x.T @ (z - y) / len(y) + pen * w
+        w -= np.linalg.solve((x.T * (z * (1 - z))) @ x / len(y) + np.diag(pen) + 1e-12 * np.eye(len(w)), g)
+    assert np.abs(g).max() < 1e-9
+    got = {r.doc_id: r.score for r in toxicity.toxicity_scores(docs, model).collect()}
+    for k, text, _ in rows:
+        own = plain_grams(text, lengths)
+        want = 1 / (1 + math.exp(-(sum(w[j] * r[g] for j, g in enumerate(grams) if g in own) + w[-1])))
+        assert got[k] == pytest.approx(want, abs=0.01), k
+
+
 def test_long_texts_give_the_same_grams(monkeypatch):
     text = " ".join(random.Random(1).choice(["idiot", "fine", "é", "thing"]) for _ in range(3000))
     whole = toxicity.distinct_grams(text)
@@ -470,6 +510,36 @@ def test_boundary_rule():
     assert n.tolist() == [2, 1]  # a tie goes to the earlier section
 
 
+def plain_sections(enc, text):
+    """Per line: end in characters, tokens by the rule, tokens that touch it and another line; bytes one by one."""
+    raw, lines = text.encode(), [x for x in re.split(r"(?<=\n)", text) if x] or [""]
+    line_of = [k for k, x in enumerate(lines) for _ in x.encode()]
+    count, crossing, at = [0] * len(lines), [0] * len(lines), 0
+    for token in enc.encode_ordinary(text):
+        own = Counter(line_of[at : at + len(enc.decode_single_token_bytes(token))])
+        at += sum(own.values())
+        count[min(own, key=lambda k: (-own[k], k))] += 1
+        for k in own if len(own) > 1 else ():
+            crossing[k] += 1
+    assert at == len(raw)
+    ends = np.cumsum([len(x) for x in lines]).tolist()
+    return list(zip(ends, count, crossing))
+
+
+def test_token_counts_of_whole_tables(spark, sf, odd):
+    """Every section of every document, and of the odd rows with their repeats and null ids, byte by byte."""
+    path = queries.tokenizer_path("byte_bpe_50k.tiktoken")
+    enc, _ = token_counts.encoding(path)
+    for df in (table(spark, sf, "documents"), odd):
+        rows = [(r.doc_id, r.text or "") for r in df.select("doc_id", "text").collect()]
+        want = Counter()
+        for i, text in rows:
+            made = plain_sections(enc, text)
+            want.update((i, k, e, n, c, sum(x[1] for x in made)) for k, (e, n, c) in enumerate(made))
+        got = token_counts.section_tokens(df, path).collect()
+        assert Counter((r.doc_id, r.section, r.end_char, r.n_tokens, r.n_crossing, r.doc_tokens) for r in got) == want
+
+
 # 7
 
 
@@ -611,7 +681,7 @@ def test_dedup_of_hot_digests(spark, tmp_path, monkeypatch):
     """Without the broadcast of all repeated digests, and with few copies to a key."""
     monkeypatch.setattr(common, "BROADCAST_BYTES", -1)
     monkeypatch.setattr(exact_dedup, "PER_KEY", 3)
-    monkeypatch.setattr(exact_dedup, "HOT_PARTS", 4)
+    monkeypatch.setattr(common, "HOT_PARTS", 4)
     rows = copies()
     spark.createDataFrame(rows, "doc_id long, text string").repartition(7).write.parquet(f"{tmp_path}/docs")
     got = exact_dedup.exact_dedup(spark, f"{tmp_path}/docs").collect()
@@ -871,6 +941,8 @@ def test_components(spark):
         for a, b in edges:
             label[a] = label[b] = min(label[a], label[b])
     assert got == {n: r for n, r in label.items() if any(n in e and e[0] != e[1] for e in edges)}
+    odd = spark.createDataFrame([(1, None), (None, 2), (None, None), (3, 3), (5, 4), (4, 5)], "a long, b long")
+    assert rows_of(connected_components(odd)) == [(4, 4), (5, 4)]
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
@@ -899,8 +971,44 @@ def test_pipeline_stages(spark, sf):
             clean = [r.doc_id for r in docs.collect() if not any(contains(r.text, s) for s in bench)]
             assert sorted(kept[name]) == sorted(clean)
         elif name == "mixing":
-            taken = {r.doc_id: math.floor((r.taken / r.size if r.size else 0) + 0.5) for r in mixing.mix(docs).collect()}
-            assert Counter(kept[name]) == Counter({i: n for i, n in taken.items() if n})
+            rows, copies = mixing.mix(docs).collect(), Counter(kept[name])
+            low = {r.doc_id: r.taken / r.size if r.size else 0 for r in rows}
+            assert all(math.floor(x) <= copies[i] <= math.ceil(x) for i, x in low.items()) and set(copies) <= set(low)
+            words, target = Counter(), {r.source: r.target for r in rows}
+            for r in rows:
+                words[r.source] += copies[r.doc_id] * r.size
+            assert abs(sum(words.values()) - sum(target.values())) < 0.15 * sum(target.values())
         docs = out
     assert sorted(kept["token_store"]) == sorted(kept["mixing"])
     assert sorted(r.doc_id for r in P.run(spark, sf).collect()) == sorted(kept["token_store"])
+
+
+def test_pipeline_of_odd_documents(spark, sf, tmp_path):
+    """Nulls, repeats, clashing columns and no documents at all; labels and benchmark as they are."""
+    import shutil
+
+    import corpus_pipeline as P
+
+    for name, rows in (("odd", odd_rows()), ("none", [])):
+        d = f"{tmp_path}/{name}"
+        os.makedirs(d)
+        for t in ("labels", "benchmark"):
+            shutil.copy(f"{sf}/{t}.parquet", d)
+        docs = spark.createDataFrame(rows, SCHEMA)
+        docs.coalesce(1).write.parquet(f"{d}/documents.parquet")
+        for k, (_, stage) in enumerate(P.STAGES[:-1]):
+            assert stage(spark, docs, d).columns == docs.columns
+        got = P.run(spark, d).collect()
+        assert {r.doc_id for r in got} <= {r[0] for r in rows} and (len(got) > 0) == (name == "odd")
+        assert all(r.n_tokens > 1 for r in got)
+
+
+def test_copies_are_expected_to_equal_the_share(spark):
+    """Long documents among short ones: the threshold, not their length, decides."""
+    rows = [(k, "w " * (4000 if k % 40 == 0 else 20), f"s{k % 2}") for k in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    mixed = mixing.mix(docs).groupBy("source", (F.col("size") > 100).alias("long")).agg(F.sum("taken").alias("t"), F.sum("size").alias("s")).collect()
+    got = Counter((r.source, len(r.text) > 500) for r in mixing.apply_mix(docs).collect())
+    for r in mixed:
+        n = sum(s == r.source and (k % 40 == 0) == r.long for k, _, s in rows)
+        assert abs(got[r.source, r.long] / max(1, n) - r.t / r.s) < (0.25 if r.long else 0.08)
