@@ -31,7 +31,7 @@ from .graph import connected_components
 from .simhash import SEED, TABLES, components, keep_one, prints_of, shingle_hashes, similar_links
 
 #: One text in SAMPLE is searched for frequent shingles: those of at least OFTEN of these texts, MOST at most.
-SAMPLE, OFTEN, MOST = 16, 4, 1 << 20
+SAMPLE, OFTEN, MOST = 16, 4, 1 << 18
 #: Rows of a shingle in one task, rows of small shingles that share a task, and pairs compared at once.
 TILE, PACK, PAIRS = 2048, 4096, 1 << 20
 #: Parity bits of a set: as many as its shingles, as a power of two within these bounds.
@@ -125,53 +125,55 @@ def shingle_sets(docs: DataFrame, width: int, similarity: float) -> DataFrame:
 
 
 def similar_sets(docs: DataFrame, sets: DataFrame, width: int, similarity: float) -> DataFrame:
-    """Links (a, b) between the sets (``shingle_sets`` of docs) that connect just the pairs of ``similarity`` or
-    more: each link is such a pair, and every such pair is in one component of the links."""
+    """(node, root): the components of the sets (``shingle_sets`` of docs) under the pairs of ``similarity`` or more;
+    sets without such a pair are left out. Sets are tied by pairs only whose shingles were compared, and every pair
+    that is similar is tied."""
     p, q = ratio(similarity)
     col, names = F.col, sets.select("fp", "text_hash")
     nodes = materialize(sets.where("size(prefix) > 0").drop("doc_id", "text_hash").dropDuplicates(["fp"]), "near-sets")
     done = materialize(_ordered(similar_links(nodes.select("fp", "n", "fps"), similarity)), "near-seeds")
-    links = _verified(done, docs, names, width, p, q)
+    roots = materialize(connected_components(_verified(done, docs, names, width, p, q)), "near-roots")
 
-    flat = nodes.select("fp", "n", F.posexplode("prefix").alias("pos", "token"))
+    flat = nodes.select("fp", F.posexplode("prefix").alias("pos", "token"))
     shared = flat.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    rows = materialize(flat.join(shared, "token"), "near-shared")
+    rows = materialize(flat.join(shared, "token", "left_semi"), "near-shared")
     last = False
     while True:
-        roots = connected_components(links).withColumnRenamed("node", "fp")
-        tied = rows.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+        tied = rows.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
         groups = tied.groupBy("token", "root").agg(F.count(F.lit(1)).alias("k"))
         most = groups.groupBy("token").agg(F.max(F.struct("k", "root")).alias("most"), F.sum("k").alias("all")).where(col("most.k") < col("all"))
-        most = most.select("token", col("most.root").alias("most"), (col("all") - col("most.k")).alias("n_out"))
+        most = most.select("token", "all", col("most.root").alias("most"), (col("all") - col("most.k")).alias("n_out"))
+        # what is tied whole stays so
         tied = materialize(tied.join(most, "token").withColumn("out", col("root") != col("most")).drop("most"), "near-tied")
-        out = tied.where("out").agg(F.count_distinct("fp")).first()[0]
+        rows = tied.select("token", "fp", "pos")
+        size, out = tied.agg(F.count(F.lit(1)), F.count_distinct(F.when(col("out"), col("fp")))).first()
         if not out:
-            return links
-        fresh = _ordered(_candidates(tied, nodes.select("fp", "bits"), p, q, last)).join(done, ["a", "b"], "left_anti")
-        fresh = materialize(fresh, "near-candidates")
+            return roots
+        fresh = _candidates(tied, nodes.select("fp", "n", "bits"), p, q, last, max(1, -(-size // PACK)))
+        fresh = materialize(_ordered(fresh).join(done, ["a", "b"], "left_anti"), "near-candidates")
         more = _verified(fresh, docs, names, width, p, q)
-        links, done = links.union(more), done.union(fresh)
+        # the roots stand for all links so far
+        roots = materialize(connected_components(roots.toDF("a", "b").union(more)), "near-roots")
         if last:
-            return links
-        last = more.count() < out / MANY
+            return roots
+        done, last = done.union(fresh), more.count() < out / MANY
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _candidates(tied: DataFrame, bits: DataFrame, p: int, q: int, every: bool) -> DataFrame:
-    """Pairs (a, b) of sets that share a token of tied (token, fp, n, pos, c: the token's rows, n_out: those that
-    are ``out``, root), are of two roots, one of them out, and may be similar by size, positions and parity bits.
-    Unless ``every``, of each set that is out the likeliest partner only.
+def _candidates(tied: DataFrame, nodes: DataFrame, p: int, q: int, every: bool, packs: int) -> DataFrame:
+    """Pairs (a, b) of sets that share a token of tied (token, fp, pos, root, out, all: the token's rows, n_out: those
+    that are ``out``), are of two roots, one of them out, and may be similar by size, positions and parity bits (nodes:
+    fp, n, bits). Unless ``every``, of each set that is out the likeliest partner only.
 
     A token of over ``TILE`` rows is compared in tiles: each block of its rows that are out with each block of
-    all. Smaller tokens share tasks."""
+    all. Smaller tokens share ``packs`` tasks."""
     col, one = F.col, F.lit(1).cast("long")
-    packs = max(1, -(-tied.count() // PACK))
     spread = F.xxhash64("fp", F.lit(7))
-    blocks, outer = F.greatest(one, F.ceil(col("c") / TILE)), F.greatest(one, F.ceil(col("n_out") / TILE))
-    rows = tied.join(bits, "fp").withColumns({"blocks": blocks, "outer": outer})
+    blocks, outer = F.greatest(one, F.ceil(col("all") / TILE)), F.greatest(one, F.ceil(col("n_out") / TILE))
+    rows = tied.join(nodes, "fp").withColumns({"blocks": blocks, "outer": outer})
     small = rows.where("blocks = 1").withColumns({"pack": F.pmod(F.xxhash64("token"), F.lit(packs)), "i": F.lit(0).cast("long"), "target": F.lit(True), "probe": col("out")})
     every_of = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), col(n) - 1))
     large = rows.where("blocks > 1")
@@ -251,8 +253,8 @@ def similar_classes(docs: DataFrame, width: int = 5, similarity: float = 0.8) ->
     at ``similarity`` or more. Null and empty texts are one set; rows and ids are as in ``simhash_classes``."""
     sets = shingle_sets(docs, width, similarity)
     prints = sets.select("doc_id", "text_hash", "fp")
-    links = similar_sets(docs, sets, width, similarity)
-    return prints.join(components(prints, links), "fp").select("doc_id", "text_hash", "fp", "component_id", "component")
+    roots = similar_sets(docs, sets, width, similarity)
+    return prints.join(components(prints, roots), "fp").select("doc_id", "text_hash", "fp", "component_id", "component")
 
 
 def similar_dedup(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:

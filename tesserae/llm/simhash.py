@@ -371,16 +371,15 @@ def similar_links(rows: DataFrame, similarity: float, node_size: int = SIMILAR_N
     return tries.groupBy(*key).applyInPandas(join, "a long, b long")
 
 
-def components(prints: DataFrame, links: DataFrame) -> DataFrame:
-    """(fp, component_id): of each distinct fp the smallest doc_id that links (a, b) can reach (null if all of its
-    component's ids are null)."""
+def components(prints: DataFrame, roots: DataFrame) -> DataFrame:
+    """(fp, component_id, component) of each distinct fp, from the roots (node, root) of those that are linked:
+    the smallest doc_id of its component (null if all of the component's ids are null)."""
     own = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-fp")
-    roots = materialize(connected_components(links), "simhash-roots")
-    tied = own.join(roots.withColumnRenamed("node", "fp"), "fp")
-    low = tied.groupBy("root").agg(F.min("least").alias("component_id"))
-    linked = tied.join(low, "root").select("fp", "component_id", F.col("root").alias("component"))
-    alone = own.join(roots.select(F.col("node").alias("fp")), "fp", "left_anti")
-    return linked.union(alone.select("fp", F.col("least").alias("component_id"), F.col("fp").alias("component")))
+    tied = own.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("root", "fp"))
+    low = tied.where("root IS NOT NULL").groupBy("component").agg(F.min("least").alias("component_id"))
+    linked = tied.where("root IS NOT NULL").join(low, "component").select("fp", "component_id", "component")
+    alone = tied.where("root IS NULL").select("fp", F.col("least").alias("component_id"), F.col("fp").alias("component"))
+    return linked.union(alone)
 
 
 def simhash_classes(docs: DataFrame, width: int = 3, radius: int = 3) -> DataFrame:
@@ -392,7 +391,8 @@ def simhash_classes(docs: DataFrame, width: int = 3, radius: int = 3) -> DataFra
     """
     prints = materialize(fingerprints(docs, width), "simhash-docs")
     links = trie_links(materialize(prints.select("fp").distinct(), "simhash-flat"), radius)
-    return prints.join(components(prints, links), "fp").select("doc_id", "text_hash", "fp", "component_id", "component")
+    roots = materialize(connected_components(links), "simhash-roots")
+    return prints.join(components(prints, roots), "fp").select("doc_id", "text_hash", "fp", "component_id", "component")
 
 
 def simhash_dedup(docs: DataFrame, width: int = 3, radius: int = 3) -> DataFrame:

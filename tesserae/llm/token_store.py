@@ -47,7 +47,7 @@ HOME_IDS, RAW_BYTES, FETCH = 8 << 20, 64 << 20, 8192
 #: A raw file's bytes are read in one piece where no gap between two wanted chunks is larger.
 GAP = 1 << 16
 #: Words kept in a worker's cache.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 400_000
 _WINDOW = 16
 #: Marks that are a piece of their own after a word (an apostrophe may begin a contraction).
 _MARKS = ".,;:!?*#$%&()[]{}+-/=_~^@|<>\"\\`"

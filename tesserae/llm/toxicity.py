@@ -185,12 +185,12 @@ def fit(docs: DataFrame, labels: DataFrame, lengths: tuple[int, ...] = LENGTHS,
             for text, label in zip(pdf["text"], pdf["label"]):
                 held[int(label)].append(x := distinct_grams(text, lengths))
                 waiting += len(x)
-                if waiting > 1_000_000:
+                if waiting > 500_000:
                     fold()
                     waiting = 0
         fold()
-        for k in range(0, len(h), 1 << 18):
-            cut = slice(k, k + (1 << 18))
+        for k in range(0, len(h), 1 << 16):
+            cut = slice(k, k + (1 << 16))
             yield pd.DataFrame({"h": h[cut].view(np.int64), "p": p[cut], "q": q[cut]})
 
     p, q = F.col("p").cast("double"), F.col("q").cast("double")
