@@ -33,6 +33,8 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -43,7 +45,7 @@ END_ID = 1
 MASK_BITS, MIN_CHUNK, MAX_CHUNK = 9, 64, 4096
 FANOUT = 1024
 #: Ids of a home, bytes of a raw file, and chunks that a task fetches for others at once.
-HOME_IDS, RAW_BYTES, FETCH = 8 << 20, 64 << 20, 8192
+HOME_IDS, RAW_BYTES, FETCH = 8 << 20, 64 << 20, 1024
 #: A raw file's bytes are read in one piece where no gap between two wanted chunks is larger.
 GAP = 1 << 16
 #: Words kept in a worker's cache.
@@ -242,30 +244,43 @@ def write_store(docs: DataFrame, tokenizer_path: str, path: str | None = None, e
     path, raw_path = path or scratch(spark, "store"), scratch(spark, "store-raw-files")
     kind = np.dtype(f"<u{id_bytes}")
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    kinds = "doc_id string, n_tokens long, digests binary, lengths binary, digest binary, file string, offset long"
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, sent, raw = encoder(tokenizer_path), set(), _Raw(raw_path)
-        for pdf in batches:
-            rows = []
-            for doc_id, text in zip(pdf["doc_id"], pdf["text"]):
+        for batch in batches:
+            sizes, whole, all_lengths, fresh, files, offsets = [], [], [], [], [], []
+            for text in batch.column(1).to_pylist():
                 ids = np.append(enc.ids(text), np.uint32(end_id))
                 if ids.max() >= 1 << (8 * id_bytes):
                     raise ValueError("an id does not fit in id_bytes")
-                digests, lengths, last = [], [], 0
-                for end in cuts(ids):
-                    payload = ids[last:end].astype(kind).tobytes()
-                    digests.append(digest := hashlib.blake2b(payload, digest_size=16).digest())
-                    lengths.append(end - last)
+                payload, ends = ids.astype(kind).tobytes(), cuts(ids)
+                digests, last = [], 0
+                for end in ends:
+                    part = payload[last * id_bytes : end * id_bytes]
+                    digests.append(digest := hashlib.blake2b(part, digest_size=16).digest())
                     last = end
                     if digest not in sent:
                         if len(sent) < 1 << 18:
                             sent.add(digest)
-                        rows.append((None, None, None, None, digest, *raw.add(payload)))
-                rows.append((doc_id, len(ids), b"".join(digests), np.array(lengths, "<i4").tobytes(), None, None, None))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_tokens", "digests", "lengths", "digest", "file", "offset"]).astype({"n_tokens": "Int64", "offset": "Int64"})
+                        name, at = raw.add(part)
+                        fresh.append(digest)
+                        files.append(name)
+                        offsets.append(at)
+                sizes.append(len(ids))
+                whole.append(b"".join(digests))
+                all_lengths.append(np.diff(ends, prepend=0).astype("<i4").tobytes())
+            # the documents' rows, then those of the chunks
+            n, m, string, binary = len(sizes), len(fresh), pa.string(), pa.binary()
+            columns = [
+                pa.concat_arrays([batch.column(0).cast(string), pa.nulls(m, string)]), pa.concat_arrays([pa.array(sizes, pa.int64()), pa.nulls(m, pa.int64())]),
+                *[pa.concat_arrays([pa.array(x, binary), pa.nulls(m, binary)]) for x in (whole, all_lengths)],
+                pa.concat_arrays([pa.nulls(n, binary), pa.array(fresh, binary)]), pa.concat_arrays([pa.nulls(n, string), pa.array(files, string)]), pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(offsets, pa.int64())]),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in kinds.split(", ")])
         raw.close()
 
-    kinds = "doc_id string, n_tokens long, digests binary, lengths binary, digest binary, file string, offset long"
-    raw = materialize(docs.select(F.col("doc_id").cast("string"), "text").mapInPandas(cut, kinds), "store-raw")
+    raw = materialize(docs.select(F.col("doc_id").cast("string"), "text").mapInArrow(cut, kinds), "store-raw")
     _write_recipes(raw, path)
     homes = materialize(_uses(spark.read.parquet(f"{path}/recipes")), "store-uses")
 
@@ -306,17 +321,19 @@ def _write_recipes(raw: DataFrame, path: str) -> None:
     dealt = rows.repartitionByRange(parts, *_order()).sortWithinPartitions(*_order())
     dealt = dealt.withColumns({"part": F.spark_partition_id(), "doc_id": F.col("doc_id").cast("string")})
 
-    def number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = ids = 0
-        for pdf in batches:
-            n = pdf["n_tokens"].to_numpy(np.int64)
+        for batch in batches:
+            n, part = batch.column(1).to_numpy(), batch.column(4).to_numpy().astype(np.int64)
             begin = ids + np.cumsum(n) - n
-            leaf = [_leaf(i, n, d) for i, n, d in zip(pdf["doc_id"], pdf["n_tokens"], pdf["digests"])]
-            yield pdf.assign(row=np.arange(row, row + len(n)), begin=begin, home=(pdf["part"].to_numpy(np.int64) << 32) + begin // HOME_IDS, leaf=leaf)
+            leaf = [_leaf(i, k, d) for i, k, d in zip(batch.column(0).to_pylist(), n.tolist(), batch.column(2).to_pylist())]
+            made = [np.arange(row, row + len(n)), begin, (part << 32) + begin // HOME_IDS]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, made), pa.array(leaf, pa.binary())], [*batch.schema.names, "row", "begin", "home", "leaf"])
             row, ids = row + len(n), ids + int(n.sum())
 
     kinds = "doc_id string, n_tokens long, digests binary, lengths binary, part int, row long, begin long, home long, leaf binary"
-    dealt.mapInPandas(number, kinds).withColumn("doc_id", F.col("doc_id").cast("long")).write.parquet(f"{path}/recipes")
+    dealt = dealt.select("doc_id", "n_tokens", "digests", "lengths", "part")
+    dealt.mapInArrow(number, kinds).withColumn("doc_id", F.col("doc_id").cast("long")).write.parquet(f"{path}/recipes")
     sums = spark.read.parquet(f"{path}/recipes").groupBy("part").agg(F.sum("n_tokens").alias("s"), F.count(F.lit(1)).alias("c"))
     w, zero = Window.partitionBy(F.lit(1)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1), F.lit(0).cast("long")
     sums.select("part", F.coalesce(F.sum("c").over(w), zero).alias("rows_before"), F.coalesce(F.sum("s").over(w), zero).alias("ids_before")).write.parquet(f"{path}/parts")
@@ -337,23 +354,21 @@ def _leaves(spark: SparkSession, path: str) -> DataFrame:
 def _uses(recipes: DataFrame) -> DataFrame:
     """(digest, home, at, n): the chunks that each home uses, once, by the place of their first use."""
 
-    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            digests, seen = [], set()
-            homes, at, sizes = [], [], []
-            for home, begin, d, lens in zip(pdf["home"].tolist(), pdf["begin"].tolist(), pdf["digests"], pdf["lengths"]):
-                for k, m in enumerate(np.frombuffer(lens, "<i4").tolist()):
-                    key = home, d[16 * k : 16 * k + 16]
-                    if key not in seen:
-                        seen.add(key)
-                        homes.append(home)
-                        digests.append(key[1])
-                        at.append(begin)
-                        sizes.append(m)
-                    begin += m
-            yield pd.DataFrame({"digest": digests, "home": homes, "at": at, "n": sizes})
-
-    rows = recipes.select("home", "begin", "digests", "lengths").mapInPandas(spread, "digest binary, home long, at long, n int")
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            home, begin = (batch.column(k).to_numpy() for k in (0, 1))
+            digests, lengths = (b"".join(batch.column(k).to_pylist()) for k in (2, 3))
+            size = np.frombuffer(lengths, "<i4")
+            before = np.cumsum(size, dtype=np.int64) - size
+            counts = pc.divide(pc.binary_length(batch.column(3)), 4).to_numpy().astype(np.int64)
+            first = np.cumsum(counts) - counts
+            # every document has a chunk
+            at = before + np.repeat(begin - before[first], counts)
+            ends = np.arange(0, 16 * (len(size) + 1), 16, dtype=np.int32)
+            digest = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(ends), pa.py_buffer(digests)])
+            yield pa.RecordBatch.from_arrays([digest, pa.array(np.repeat(home, counts)), pa.array(at), pa.array(size)], ["digest", "home", "at", "n"])
+
+    rows = recipes.select("home", "begin", "digests", "lengths").mapInArrow(spread, "digest binary, home long, at long, n int")
     return rows.groupBy("digest", "home").agg(F.min("at").alias("at"), F.first("n").alias("n"))
 
 
@@ -382,8 +397,10 @@ def read_streams(spark: SparkSession, path: str, each: Callable[[np.ndarray], tu
     # a pack that many homes borrow from is read by several tasks
     wanted = spark.read.parquet(f"{path}/borrowed").join(chunks.drop("home"), "digest")
     shares = wanted.groupBy("file").agg(F.ceil(F.count(F.lit(1)) / FETCH).alias("shares"))
-    wanted = wanted.join(shares, "file").withColumn("share", F.pmod(F.xxhash64("home"), "shares"))
-    lent = wanted.groupBy("file", "share").applyInPandas(fetch, "home long, digest binary, payload binary")
+    # one key column, so that the shares of a file are dealt out
+    share = F.concat_ws("/", "file", F.pmod(F.xxhash64("home"), "shares")).alias("share")
+    wanted = wanted.join(shares, "file").select("home", "digest", "n", "file", "offset", share)
+    lent = wanted.groupBy("share").applyInPandas(fetch, "home long, digest binary, payload binary")
     none = [F.lit(None).cast(t).alias(c) for c, t in (("file", "string"), ("offset", "long"), ("n", "int"))]
     pieces = chunks.select("home", "digest", F.lit(None).cast("binary").alias("payload"), "file", "offset", "n").unionByName(lent.select("home", "digest", "payload", *none))
 
