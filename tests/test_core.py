@@ -12,7 +12,7 @@ from tesserae import functions as fn
 from tesserae import plans, sources, streaming
 from tesserae.functions import image
 from tesserae.operators import grid, lookup, mask, overlap, rank, split, stats
-from tesserae.plans import pixels
+from tesserae.plans import pixels, training
 from tesserae.plans.queries import ORACLES, QUERIES
 from tesserae.schema import TILES
 from tesserae.sources import scan, sinks
@@ -441,3 +441,26 @@ def test_top(spark):
     assert plans.only_one(a=None, b=1) == "b"
     with pytest.raises(ValueError):
         plans.only_one(a=1, b=1)
+
+
+def test_training(spark, tmp_path):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(400, 6))
+    y = (x @ [2, -1, 0, 0, 1, 0] + 0.5 + rng.normal(size=400) > 0).astype(int)
+    rows = spark.createDataFrame([(v.tolist(), int(k)) for v, k in zip(x, y)], "embedding array<double>, label int")
+    weights, bias = training.fit_logistic(rows, l2=1e-3)
+    z = 1 / (1 + np.exp(-(x @ weights + bias)))
+    assert np.abs(x.T @ (z - y) / 400 + 1e-3 * weights).max() < 1e-3 and abs((z - y).mean()) < 1e-3
+    training.save_checkpoint(f"{tmp_path}/run/best.npz", weights, bias)
+    assert np.allclose(image.Checkpoint(f"{tmp_path}/run/best.npz")(x), z)
+    w2, _ = training.fit_logistic(rows.where("label = 1").union(rows.where("label = 0").limit(20)), balance=True)
+    assert w2[0] > 0.5
+    scored = image.logistic_scores(rows, weights.tolist(), bias).withColumn("split", F.lit("val"))
+    frames = plans.evaluate(scored)
+    lines = training.metric_lines({"metrics": frames["metrics"], "auc": frames["auc"]})
+    assert len(lines) == 2 and lines[0].startswith("metrics: split=val  accuracy=0.") and lines[1].startswith("auc: split=val  auc=0.9")
+    assert [training.learning_rate(k, 10, 0.5) for k in (0, 5, 10)] == [0.5, pytest.approx(0.25), pytest.approx(0)] and training.learning_rate(9, 10, 0.5, "constant") == 0.5
+    log = training.RunLog(f"{tmp_path}/log")
+    log.log(1, loss=0.5, auroc=0.75)
+    log.log(2, loss=0.25)
+    assert rows_of(log.entries(spark, ["loss", "auroc"])) == [(1, 0.5, 0.75), (2, 0.25, None)]
