@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import arrow_rows, materialize, sized
 from .graph import connected_components
-from .simhash import SEED, TABLES, components, keep_one, prints_of, shingle_hashes, similar_links
+from .simhash import SEED, TABLES, keep_one, prints_of, shingle_hashes, similar_links, with_components
 
 #: One text in SAMPLE is searched for frequent shingles: those of at least OFTEN of these texts, MOST at most.
 SAMPLE, OFTEN, MOST = 16, 4, 1 << 18
@@ -254,7 +254,7 @@ def similar_classes(docs: DataFrame, width: int = 5, similarity: float = 0.8) ->
     sets = shingle_sets(docs, width, similarity)
     prints = sets.select("doc_id", "text_hash", "fp")
     roots = similar_sets(docs, sets, width, similarity)
-    return prints.join(components(prints, roots), "fp").select("doc_id", "text_hash", "fp", "component_id", "component")
+    return with_components(prints, roots)
 
 
 def similar_dedup(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, materialize, sized
+from .common import arrow_rows, join_groups, materialize, sized
 from .graph import connected_components
 
 SEED, BITS = 42, 64
@@ -371,15 +371,18 @@ def similar_links(rows: DataFrame, similarity: float, node_size: int = SIMILAR_N
     return tries.groupBy(*key).applyInPandas(join, "a long, b long")
 
 
-def components(prints: DataFrame, roots: DataFrame) -> DataFrame:
-    """(fp, component_id, component) of each distinct fp, from the roots (node, root) of those that are linked:
-    the smallest doc_id of its component (null if all of the component's ids are null)."""
-    own = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-fp")
+def with_components(prints: DataFrame, roots: DataFrame) -> DataFrame:
+    """prints (doc_id, text_hash, fp) with component_id and component, from the roots (node, root) of the fingerprints
+    that are linked: the smallest doc_id of the component (null if all of its ids are null). Copies of one fingerprint
+    may be a large part of all rows: see ``join_groups``."""
+    own = prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"))
     tied = own.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("root", "fp"))
+    tied = materialize(tied, "simhash-tied")
     low = tied.where("root IS NOT NULL").groupBy("component").agg(F.min("least").alias("component_id"))
-    linked = tied.where("root IS NOT NULL").join(low, "component").select("fp", "component_id", "component")
-    alone = tied.where("root IS NULL").select("fp", F.col("least").alias("component_id"), F.col("fp").alias("component"))
-    return linked.union(alone)
+    linked = tied.where("root IS NOT NULL").join(low, "component").select("fp", "copies", "component_id", "component")
+    alone = tied.where("root IS NULL").select("fp", "copies", F.col("least").alias("component_id"), "component")
+    groups = materialize(linked.union(alone), "simhash-components")
+    return join_groups(prints, groups, "fp", "copies", 40).select("doc_id", "text_hash", "fp", "component_id", "component")
 
 
 def simhash_classes(docs: DataFrame, width: int = 3, radius: int = 3) -> DataFrame:
@@ -392,7 +395,7 @@ def simhash_classes(docs: DataFrame, width: int = 3, radius: int = 3) -> DataFra
     prints = materialize(fingerprints(docs, width), "simhash-docs")
     links = trie_links(materialize(prints.select("fp").distinct(), "simhash-flat"), radius)
     roots = materialize(connected_components(links), "simhash-roots")
-    return prints.join(components(prints, roots), "fp").select("doc_id", "text_hash", "fp", "component_id", "component")
+    return with_components(prints, roots)
 
 
 def simhash_dedup(docs: DataFrame, width: int = 3, radius: int = 3) -> DataFrame:

@@ -905,6 +905,16 @@ def test_trie_links_equal_brute_force():
             assert all((int(keys[a]) ^ int(keys[b])).bit_count() <= 64 for a, b in links)
 
 
+def test_simhash_of_hot_copies(spark, monkeypatch):
+    """Without the broadcast of all components, a text with half of the rows."""
+    rows = [(k, "same text again and again" if k % 2 else f"own words {k} and {k * k} more {k % 7}") for k in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted(map(tuple, simhash.simhash_classes(docs).collect()))
+    monkeypatch.setattr(common, "BROADCAST_BYTES", -1)
+    monkeypatch.setattr(common, "HOT_PARTS", 3)
+    assert sorted(map(tuple, simhash.simhash_classes(docs).collect())) == want and len(want) == 120
+
+
 @pytest.mark.parametrize("groups", [1, 2])
 def test_large_node_pairs_are_tiled(spark, monkeypatch, groups):
     """Groups too large for one node, among other keys, come out whole, from tasks of bounded size."""
