@@ -111,7 +111,8 @@ def window_scores(scans: DataFrame, model: Callable[[np.ndarray], np.ndarray], t
 
 def rescore_best(scored: DataFrame, scans: DataFrame, model: Callable[[np.ndarray], np.ndarray], h: int, w: int, tile: int, stride: int, border: int = 0, masks: DataFrame | None = None) -> DataFrame:
     """The best FOV of each slide of scored tiles (with pos), scored again densely and averaged over the cells that
-    ``overlap.score_map`` gives. Only that FOV's pixels are read: one row per slide decides it."""
+    ``overlap.score_map`` gives. One row per slide decides which FOV that is; a semi join leaves only its pixels to the
+    demosaic (of scans on disk, all rows of the slides pass the join)."""
     best = rank.best_fov(scored).select(*FOV_KEY)
     some = scans.join(best, FOV_KEY, "left_semi")
     return overlap.score_map(window_scores(some, model, tile, stride, border, masks), h, w, tile, stride, border)
