@@ -24,6 +24,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
 import unicodedata
 import uuid
 import zlib
@@ -49,10 +50,13 @@ HOME_IDS, RAW_BYTES, FETCH = 8 << 20, 64 << 20, 1024
 #: A raw file's bytes are read in one piece where no gap between two wanted chunks is larger.
 GAP = 1 << 16
 #: Words kept in a worker's cache.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 600_000
 _WINDOW = 16
 #: Marks that are a piece of their own after a word (an apostrophe may begin a contraction).
 _MARKS = ".,;:!?*#$%&()[]{}+-/=_~^@|<>\"\\`"
+#: Of the bytes of a text, the ASCII characters that are no letter, digit or white space; and those beyond ASCII.
+_IS_MARK = bytes(b < 128 and not chr(b).isalnum() and b != 32 and not 9 <= b <= 13 for b in range(256))
+_WIDE_MARK = re.compile(r"[^\w\s\x00-\x7f]")
 
 
 def _byte_chars() -> dict[int, str]:
@@ -122,10 +126,14 @@ class WordEncoder:
         if not self.by_words or any(a in text for a in self.added):
             return self.exact(text)
         low = text.lower()
+        plain = low.isascii()
         # lower case comes after normal form: both orders agree where both texts are in normal form
-        if low.isascii() or "\u03a3" not in text and unicodedata.is_normalized("NFC", text) and unicodedata.is_normalized("NFC", low):
-            text = low
-        words = text.replace("\n", " ").split(" ")
+        normal = plain or "\u03a3" not in text and unicodedata.is_normalized("NFC", text) and unicodedata.is_normalized("NFC", low)
+        text = (low if normal else text).replace("\n", " ")
+        # where no two marks meet, a mark at a word's end is a piece of its own and may stand alone
+        if (plain or normal and not _WIDE_MARK.search(text)) and b"\1\1" not in text.encode("utf-8", "surrogatepass").translate(_IS_MARK):
+            text = text.replace(". ", " . ").replace(", ", " , ")
+        words = text.split(" ")
         cache = self.cache
         parts = list(map(cache.get, words))
         at = -1
@@ -198,7 +206,7 @@ class _Raw:
     def __init__(self, folder: str) -> None:
         self.fs, self.root = filesystem(folder)
         self.fs.create_dir(self.root, recursive=True)
-        self.out, self.name, self.at = None, "", 0
+        self.out, self.name, self.at, self.held = None, "", 0, bytearray()
 
     def add(self, payload: bytes) -> tuple[str, int]:
         if self.out is None or self.at >= RAW_BYTES:
@@ -206,11 +214,18 @@ class _Raw:
             self.name, self.at = uuid.uuid4().hex, 0
             self.out = self.fs.open_output_stream(f"{self.root}/{self.name}")
         at, self.at = self.at, self.at + len(payload)
-        self.out.write(payload)
+        self.held += payload
+        if len(self.held) >= 1 << 20:
+            self._flush()
         return self.name, at
 
+    def _flush(self) -> None:
+        self.out.write(bytes(self.held))
+        self.held.clear()
+
     def close(self) -> None:
         if self.out is not None:
+            self._flush()
             self.out.close()
             self.out = None
 
@@ -282,11 +297,9 @@ def write_store(docs: DataFrame, tokenizer_path: str, path: str | None = None, e
 
     raw = materialize(docs.select(F.col("doc_id").cast("string"), "text").mapInArrow(cut, kinds), "store-raw")
     _write_recipes(raw, path)
-    homes = materialize(_uses(spark.read.parquet(f"{path}/recipes")), "store-uses")
-
     # each chunk is owned by the first home that uses it, and copied there from one of its raw copies
-    owner = homes.groupBy("digest").agg(F.min("home").alias("owner"))
-    homes = materialize(homes.join(owner, "digest"), "store-owners")
+    homes = _uses(spark.read.parquet(f"{path}/recipes")).withColumn("owner", F.min("home").over(Window.partitionBy("digest")))
+    homes = materialize(homes, "store-uses")
     copy = raw.where("digest IS NOT NULL").groupBy("digest").agg(F.min(F.struct("file", "offset")).alias("c")).select("digest", F.col("c.file").alias("file"), F.col("c.offset").alias("offset"))
     own = homes.where("home = owner").select("digest", "home", "at", "n").join(copy, "digest")
 

@@ -617,6 +617,18 @@ def test_word_encoder_guards_its_tokenizer(tmp_path):
         assert token_store.WordEncoder(path).ids(text).tolist() == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
 
 
+def test_words_and_marks_equal_whole_texts():
+    """Marks at word ends, alone, doubled, beyond ASCII, and contractions."""
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path("word_bpe_49k.json")
+    ours, whole, rng = token_store.WordEncoder(path), Tokenizer.from_file(path), random.Random(10)
+    pieces = ["word", "Wörter", "don't", "it's", "'s", "x", "12", "a1", ".", ",", "...", "?.", ".,", "!", "—", "¿", "e\u0301", "É", "_", "a_b", "3.5", "a.b", "中文", "İ", "Σας", "\u00a0", "\t", "\n", " ", "  ", "²", "½", "\x1b", "\x1c", "\x00", "<|endoftext|>"]
+    for _ in range(4000):
+        text = "".join(rng.choice(pieces) + rng.choice(["", " ", ". ", ", ", "\n"]) for _ in range(rng.randrange(14)))
+        assert ours.ids(text).tolist() == whole.encode(text, add_special_tokens=False).ids, repr(text)
+
+
 def test_token_store_notices_damage(spark, sf):
     path = queries.tokenizer_path("word_bpe_49k.json")
     store = token_store.write_store(table(spark, sf, "documents").limit(20), path)
