@@ -33,7 +33,7 @@ from .simhash import SEED, TABLES, keep_one, prints_of, shingle_hashes, similar_
 #: One text in SAMPLE is searched for frequent shingles: those of at least OFTEN of these texts, MOST at most.
 SAMPLE, OFTEN, MOST = 16, 4, 1 << 18
 #: Rows of a shingle in one task, rows of small shingles that share a task, and pairs compared at once.
-TILE, PACK, PAIRS = 2048, 4096, 1 << 20
+TILE, PACK, PAIRS = 2048, 4096, 1 << 17
 #: Parity bits of a set: as many as its shingles, as a power of two within these bounds.
 LEAST_BITS, MOST_BITS = 64, 4096
 #: Rounds with single partners go on while they tie one in MANY of the texts outside.

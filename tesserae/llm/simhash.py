@@ -183,8 +183,8 @@ def _links(keys: np.ndarray, split: int, radius: int, top: int = BITS, wide: np.
 
 
 def _parts(sizes: np.ndarray) -> Iterator[slice]:
-    """Runs of leaves whose products stay near a million."""
-    cuts = np.searchsorted(np.cumsum(sizes), np.arange(1 << 20, int(sizes.sum()) + (1 << 20), 1 << 20)) + 1
+    """Runs of leaves whose products stay near a quarter of a million."""
+    cuts = np.searchsorted(np.cumsum(sizes), np.arange(1 << 18, int(sizes.sum()) + (1 << 18), 1 << 18)) + 1
     begin = 0
     for end in np.minimum(cuts, len(sizes)).tolist():
         if end > begin:
