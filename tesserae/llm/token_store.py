@@ -11,7 +11,8 @@ Layout of a store (below one folder of the shared space; a home is a run of docu
   has the documents and ids before each file.
 * ``packs``: files of chunk payloads (little-endian unsigned ids of ``id_bytes`` each). Every distinct chunk is stored
   once, in the pack of the first home that uses it, in the order of its first use.
-* ``chunks``: digest, n, home, file, offset. ``borrowed``: the digests that a home takes from the packs of others.
+* ``chunks``: for each pack its home, file, and the digests and lengths of its chunks in order. ``borrowed``: the
+  digests that a home takes from the packs of others, with their owner's home.
 * ``manifest``: the Merkle tree above the leaves, level by level, up to one root.
 
 Tokenizing tasks write raw files of payloads and metadata; payloads are never shuffled, but copied by byte ranges
@@ -24,7 +25,6 @@ from __future__ import annotations
 import hashlib
 import json
 import os
-import re
 import unicodedata
 import uuid
 import zlib
@@ -46,7 +46,7 @@ END_ID = 1
 MASK_BITS, MIN_CHUNK, MAX_CHUNK = 9, 64, 4096
 FANOUT = 1024
 #: Ids of a home, bytes of a raw file, and chunks that a task fetches for others at once.
-HOME_IDS, RAW_BYTES, FETCH = 8 << 20, 64 << 20, 1024
+HOME_IDS, RAW_BYTES, FETCH = 8 << 20, 64 << 20, 8192
 #: A raw file's bytes are read in one piece where no gap between two wanted chunks is larger.
 GAP = 1 << 16
 #: Words kept in a worker's cache.
@@ -54,9 +54,6 @@ CACHE_WORDS = 600_000
 _WINDOW = 16
 #: Marks that are a piece of their own after a word (an apostrophe may begin a contraction).
 _MARKS = ".,;:!?*#$%&()[]{}+-/=_~^@|<>\"\\`"
-#: Of the bytes of a text, the ASCII characters that are no letter, digit or white space; and those beyond ASCII.
-_IS_MARK = bytes(b < 128 and not chr(b).isalnum() and b != 32 and not 9 <= b <= 13 for b in range(256))
-_WIDE_MARK = re.compile(r"[^\w\s\x00-\x7f]")
 
 
 def _byte_chars() -> dict[int, str]:
@@ -121,19 +118,16 @@ class WordEncoder:
             return found + self.tails[tail]
         return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
 
-    def ids(self, text: str | None) -> np.ndarray:
+    def stream(self, text: str | None) -> bytes:
+        """The ids as unsigned 32-bit integers."""
         text = text or ""
         if not self.by_words or any(a in text for a in self.added):
-            return self.exact(text)
+            return self.exact(text).tobytes()
         low = text.lower()
-        plain = low.isascii()
         # lower case comes after normal form: both orders agree where both texts are in normal form
-        normal = plain or "\u03a3" not in text and unicodedata.is_normalized("NFC", text) and unicodedata.is_normalized("NFC", low)
-        text = (low if normal else text).replace("\n", " ")
-        # where no two marks meet, a mark at a word's end is a piece of its own and may stand alone
-        if (plain or normal and not _WIDE_MARK.search(text)) and b"\1\1" not in text.encode("utf-8", "surrogatepass").translate(_IS_MARK):
-            text = text.replace(". ", " . ").replace(", ", " , ")
-        words = text.split(" ")
+        if low.isascii() or "\u03a3" not in text and unicodedata.is_normalized("NFC", text) and unicodedata.is_normalized("NFC", low):
+            text = low
+        words = text.replace("\n", " ").split(" ")
         cache = self.cache
         parts = list(map(cache.get, words))
         at = -1
@@ -145,7 +139,10 @@ class WordEncoder:
                 if len(cache) < CACHE_WORDS:
                     cache[word] = found
         except ValueError:
-            return np.frombuffer(b"".join(parts), np.uint32)
+            return b"".join(parts)
+
+    def ids(self, text: str | None) -> np.ndarray:
+        return np.frombuffer(self.stream(text), np.uint32)
 
 
 @lru_cache(maxsize=2)
@@ -153,25 +150,30 @@ def encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
-def cuts(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks of an id stream."""
-    n = len(ids)
+def cuts(ids: np.ndarray, ends: np.ndarray | None = None) -> list[list[int]]:
+    """Ends of the chunks of each id stream; the streams lie end to end and end at ``ends``."""
+    ends = np.array([len(ids)]) if ends is None else ends
     h = ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
     width = 1
     while width < _WINDOW:  # h[i] = sum of mix(ids[i - j]) << j over the window
         h[width:] = h[width:] + (h[:-width] << np.uint64(width))
         width *= 2
+    # a window that reaches into the stream before ends too soon for a cut
     wanted = np.flatnonzero(h >> np.uint64(64 - MASK_BITS) == 0) + 1
-    ends, last = [], 0
-    for c in [*wanted.tolist(), n]:
-        while c - last > MAX_CHUNK:
-            last += MAX_CHUNK
-            ends.append(last)
-        if c - last >= MIN_CHUNK or c == n and c > last:
-            last = c
-            ends.append(c)
-    return ends
+    found, begin = [], 0
+    for n, some in zip(ends.tolist(), np.split(wanted, np.searchsorted(wanted, ends[:-1], "right"))):
+        own, last = [], begin
+        for c in [*some.tolist(), n]:
+            while c - last > MAX_CHUNK:
+                last += MAX_CHUNK
+                own.append(last)
+            if c - last >= MIN_CHUNK or c == n and c > last:
+                last = c
+                own.append(c)
+        found.append(own)
+        begin = n
+    return found
 
 
 def _leaf(doc_id, n: int, digests: bytes) -> bytes:
@@ -259,21 +261,27 @@ def write_store(docs: DataFrame, tokenizer_path: str, path: str | None = None, e
     path, raw_path = path or scratch(spark, "store"), scratch(spark, "store-raw-files")
     kind = np.dtype(f"<u{id_bytes}")
 
-    kinds = "doc_id string, n_tokens long, digests binary, lengths binary, digest binary, file string, offset long"
+    kinds = "doc_id string, n_tokens long, digests binary, lengths binary, leaf binary, digest binary, file string, offset long"
+    mark = np.array([end_id], np.uint32).tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, sent, raw = encoder(tokenizer_path), set(), _Raw(raw_path)
         for batch in batches:
-            sizes, whole, all_lengths, fresh, files, offsets = [], [], [], [], [], []
-            for text in batch.column(1).to_pylist():
-                ids = np.append(enc.ids(text), np.uint32(end_id))
-                if ids.max() >= 1 << (8 * id_bytes):
-                    raise ValueError("an id does not fit in id_bytes")
-                payload, ends = ids.astype(kind).tobytes(), cuts(ids)
-                digests, last = [], 0
+            doc_ids = batch.column(0).cast(pa.string()).to_pylist()
+            streams = [enc.stream(t) + mark for t in batch.column(1).to_pylist()]
+            sizes = np.fromiter(map(len, streams), np.int64, len(streams)) // 4
+            ids = np.frombuffer(b"".join(streams), np.uint32)
+            if len(ids) and ids.max() >= 1 << (8 * id_bytes):
+                raise ValueError("an id does not fit in id_bytes")
+            payload = ids.astype(kind).tobytes()
+            whole, all_lengths, leaves, fresh, files, offsets = [], [], [], [], [], []
+            last = 0
+            for doc_id, size, ends in zip(doc_ids, sizes.tolist(), cuts(ids, np.cumsum(sizes)) if len(ids) else ()):
+                digests, lengths = [], []
                 for end in ends:
                     part = payload[last * id_bytes : end * id_bytes]
                     digests.append(digest := hashlib.blake2b(part, digest_size=16).digest())
+                    lengths.append(end - last)
                     last = end
                     if digest not in sent:
                         if len(sent) < 1 << 18:
@@ -282,14 +290,14 @@ def write_store(docs: DataFrame, tokenizer_path: str, path: str | None = None, e
                         fresh.append(digest)
                         files.append(name)
                         offsets.append(at)
-                sizes.append(len(ids))
                 whole.append(b"".join(digests))
-                all_lengths.append(np.diff(ends, prepend=0).astype("<i4").tobytes())
+                all_lengths.append(np.array(lengths, "<i4").tobytes())
+                leaves.append(_leaf(doc_id, size, whole[-1]))
             # the documents' rows, then those of the chunks
             n, m, string, binary = len(sizes), len(fresh), pa.string(), pa.binary()
             columns = [
-                pa.concat_arrays([batch.column(0).cast(string), pa.nulls(m, string)]), pa.concat_arrays([pa.array(sizes, pa.int64()), pa.nulls(m, pa.int64())]),
-                *[pa.concat_arrays([pa.array(x, binary), pa.nulls(m, binary)]) for x in (whole, all_lengths)],
+                pa.concat_arrays([pa.array(doc_ids, string), pa.nulls(m, string)]), pa.concat_arrays([pa.array(sizes), pa.nulls(m, pa.int64())]),
+                *[pa.concat_arrays([pa.array(x, binary), pa.nulls(m, binary)]) for x in (whole, all_lengths, leaves)],
                 pa.concat_arrays([pa.nulls(n, binary), pa.array(fresh, binary)]), pa.concat_arrays([pa.nulls(n, string), pa.array(files, string)]), pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(offsets, pa.int64())]),
             ]
             yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in kinds.split(", ")])
@@ -312,13 +320,14 @@ def write_store(docs: DataFrame, tokenizer_path: str, path: str | None = None, e
         for name, some in pdf.groupby("file"):
             for k, payload in zip(some.index, _ranges(fs, f"{raw_root}/{name}", some["offset"].to_numpy(np.int64), sizes[some.index])):
                 parts[k] = payload
-        file = f"{pdf['home'].iat[0]:016x}-{uuid.uuid4().hex}"
+        home = int(pdf["home"].iat[0])
+        file = f"{home:016x}-{uuid.uuid4().hex}"
         with fs.open_output_stream(f"{root}/{file}") as out:
             out.write(b"".join(parts))
-        return pd.DataFrame({"digest": pdf["digest"], "n": pdf["n"], "home": pdf["home"], "file": file, "offset": np.cumsum(sizes) - sizes})
+        return pd.DataFrame({"home": [home], "file": [file], "digests": [b"".join(pdf["digest"])], "lengths": [pdf["n"].to_numpy("<i4").tobytes()]})
 
-    own.groupBy("home").applyInPandas(pack, "digest binary, n int, home long, file string, offset long").write.parquet(f"{path}/chunks")
-    homes.where("home != owner").select("home", "digest").write.parquet(f"{path}/borrowed")
+    own.groupBy("home").applyInPandas(pack, "home long, file string, digests binary, lengths binary").write.parquet(f"{path}/chunks")
+    homes.where("home != owner").select("home", "digest", "owner").write.parquet(f"{path}/borrowed")
     _merkle(_leaves(spark, path), spark).where("level > 0").write.parquet(f"{path}/manifest")
     at = spark._jvm.org.apache.hadoop.fs.Path(raw_path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
@@ -330,23 +339,20 @@ def _write_recipes(raw: DataFrame, path: str) -> None:
     their partition, whose sums are added later, so nothing is shuffled again and files stay in order."""
     spark = raw.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = raw.where("digest IS NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "n_tokens", "digests", "lengths")
+    rows = raw.where("digest IS NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "n_tokens", "digests", "lengths", "leaf")
     dealt = rows.repartitionByRange(parts, *_order()).sortWithinPartitions(*_order())
-    dealt = dealt.withColumns({"part": F.spark_partition_id(), "doc_id": F.col("doc_id").cast("string")})
+    dealt = dealt.withColumn("part", F.spark_partition_id())
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = ids = 0
         for batch in batches:
-            n, part = batch.column(1).to_numpy(), batch.column(4).to_numpy().astype(np.int64)
+            n, part = batch.column(1).to_numpy(), batch.column(5).to_numpy().astype(np.int64)
             begin = ids + np.cumsum(n) - n
-            leaf = [_leaf(i, k, d) for i, k, d in zip(batch.column(0).to_pylist(), n.tolist(), batch.column(2).to_pylist())]
             made = [np.arange(row, row + len(n)), begin, (part << 32) + begin // HOME_IDS]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, made), pa.array(leaf, pa.binary())], [*batch.schema.names, "row", "begin", "home", "leaf"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, made)], [*batch.schema.names, "row", "begin", "home"])
             row, ids = row + len(n), ids + int(n.sum())
 
-    kinds = "doc_id string, n_tokens long, digests binary, lengths binary, part int, row long, begin long, home long, leaf binary"
-    dealt = dealt.select("doc_id", "n_tokens", "digests", "lengths", "part")
-    dealt.mapInArrow(number, kinds).withColumn("doc_id", F.col("doc_id").cast("long")).write.parquet(f"{path}/recipes")
+    dealt.mapInArrow(number, "doc_id long, n_tokens long, digests binary, lengths binary, leaf binary, part int, row long, begin long, home long").write.parquet(f"{path}/recipes")
     sums = spark.read.parquet(f"{path}/recipes").groupBy("part").agg(F.sum("n_tokens").alias("s"), F.count(F.lit(1)).alias("c"))
     w, zero = Window.partitionBy(F.lit(1)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1), F.lit(0).cast("long")
     sums.select("part", F.coalesce(F.sum("c").over(w), zero).alias("rows_before"), F.coalesce(F.sum("s").over(w), zero).alias("ids_before")).write.parquet(f"{path}/parts")
@@ -393,47 +399,53 @@ def read_streams(spark: SparkSession, path: str, each: Callable[[np.ndarray], tu
     arrow_rows(spark, 1024)
     kind = np.dtype(f"<u{id_bytes}")
     names = [x.split()[0] for x in kinds.split(",")]
-    chunks = spark.read.parquet(f"{path}/chunks")
+    packs = spark.read.parquet(f"{path}/chunks")
 
-    def checked(digest: bytes, payload: bytes) -> bytes:
-        if hashlib.blake2b(payload, digest_size=16).digest() != digest:
-            raise ValueError("a chunk does not match its digest")
-        return payload
-
-    def fetch(pdf: pd.DataFrame) -> pd.DataFrame:
+    def load(file: str, digests: bytes, lengths: bytes) -> dict[bytes, bytes]:
+        """The chunks of a pack, checked."""
         fs, root = filesystem(f"{path}/packs")
-        first = pdf.drop_duplicates("digest")
-        held = _ranges(fs, f"{root}/{pdf['file'].iat[0]}", first["offset"].to_numpy(np.int64), first["n"].to_numpy(np.int64) * id_bytes)
-        known = {d: checked(d, p) for d, p in zip(first["digest"], held)}
-        return pd.DataFrame({"home": pdf["home"], "digest": pdf["digest"], "payload": [known[d] for d in pdf["digest"]]})
+        with fs.open_input_file(f"{root}/{file}") as f:
+            data = f.read()
+        held, at = {}, 0
+        for k, n in enumerate(np.frombuffer(lengths, "<i4").tolist()):
+            digest, part = digests[16 * k : 16 * k + 16], data[at : at + n * id_bytes]
+            if hashlib.blake2b(part, digest_size=16).digest() != digest:
+                raise ValueError("a chunk does not match its digest")
+            held[digest] = part
+            at += n * id_bytes
+        return held
+
+    def lend(wanted: pd.DataFrame, packs: pd.DataFrame) -> pd.DataFrame:
+        held = load(*packs[["file", "digests", "lengths"]].iloc[0]) if len(packs) else {}
+        return pd.DataFrame({"home": wanted["home"], "digest": wanted["digest"], "payload": [held.get(d) for d in wanted["digest"]]})
 
     # a pack that many homes borrow from is read by several tasks
-    wanted = spark.read.parquet(f"{path}/borrowed").join(chunks.drop("home"), "digest")
-    shares = wanted.groupBy("file").agg(F.ceil(F.count(F.lit(1)) / FETCH).alias("shares"))
-    # one key column, so that the shares of a file are dealt out
-    share = F.concat_ws("/", "file", F.pmod(F.xxhash64("home"), "shares")).alias("share")
-    wanted = wanted.join(shares, "file").select("home", "digest", "n", "file", "offset", share)
-    lent = wanted.groupBy("share").applyInPandas(fetch, "home long, digest binary, payload binary")
-    none = [F.lit(None).cast(t).alias(c) for c, t in (("file", "string"), ("offset", "long"), ("n", "int"))]
-    pieces = chunks.select("home", "digest", F.lit(None).cast("binary").alias("payload"), "file", "offset", "n").unionByName(lent.select("home", "digest", "payload", *none))
+    wanted = spark.read.parquet(f"{path}/borrowed")
+    shares = wanted.groupBy("owner").agg(F.ceil(F.count(F.lit(1)) / FETCH).alias("shares"))
+    wanted = wanted.join(shares, "owner").withColumn("share", F.concat_ws("/", "owner", F.pmod(F.xxhash64("home"), "shares")))
+    lenders = packs.join(shares, packs["home"] == shares["owner"]).withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)))
+    lenders = lenders.select("file", "digests", "lengths", F.concat_ws("/", "owner", "k").alias("share"))
+    lent = wanted.select("home", "digest", "share").groupBy("share").cogroup(lenders.groupBy("share")).applyInPandas(lend, "home long, digest binary, payload binary")
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("file", "string"), ("digests", "binary"), ("lengths", "binary"))]
+    empty = [F.lit(None).cast("binary").alias(c) for c in ("digest", "payload")]
+    pieces = packs.select("home", "file", "digests", "lengths", *empty).unionByName(lent.select("home", "digest", "payload", *none))
 
     def join(recipes: pd.DataFrame, pieces: pd.DataFrame) -> pd.DataFrame:
-        fs, root = filesystem(f"{path}/packs")
         held = {}
-        for file, some in pieces[pieces["file"].notna()].groupby("file"):
-            found = _ranges(fs, f"{root}/{file}", some["offset"].to_numpy(np.int64), some["n"].to_numpy(np.int64) * id_bytes)
-            held |= {d: checked(d, p) for d, p in zip(some["digest"], found)}
+        for file, digests, lengths in pieces.loc[pieces["file"].notna(), ["file", "digests", "lengths"]].itertuples(index=False):
+            held |= load(file, digests, lengths)
         lent = pieces[pieces["payload"].notna()]
-        held |= {d: checked(d, p) for d, p in zip(lent["digest"], lent["payload"])}
+        held |= dict(zip(lent["digest"], lent["payload"]))
         out = []
         for i, n, d, lens, leaf in zip(recipes["doc_id"], recipes["n_tokens"].tolist(), recipes["digests"], recipes["lengths"], recipes["leaf"]):
             if _leaf(i, n, d) != leaf:
                 raise ValueError("a recipe does not match its leaf")
-            parts = [held.get(d[k : k + 16]) for k in range(0, len(d), 16)]
-            if None in parts or [len(x) // id_bytes for x in parts] != np.frombuffer(lens, "<i4").tolist():
-                raise ValueError("a chunk is missing or of another length")
+            try:
+                parts = [held[d[k : k + 16]] for k in range(0, len(d), 16)]
+            except KeyError:
+                raise ValueError("a chunk is missing") from None
             ids = np.frombuffer(b"".join(parts), kind)
-            if len(ids) != n:
+            if len(ids) != n or [len(x) // id_bytes for x in parts] != np.frombuffer(lens, "<i4").tolist():
                 raise ValueError("a recipe's chunks do not add up to its tokens")
             out.append(each(ids))
         made = recipes[["doc_id", "start", "n_tokens"]].reset_index(drop=True)
