@@ -552,13 +552,16 @@ def mosaics(spark, d):
 
 
 @query(
-    """SELECT f.slide, f.fov_y, f.fov_x, CAST(y.i AS INTEGER) AS tile_y, CAST(x.i AS INTEGER) AS tile_x, coalesce(l.score, 0) AS score
+    """SELECT f.slide, f.fov_y, f.fov_x, count(*) AS n, round(sum(coalesce(l.score, 0)), 4) AS total, round(sum(coalesce(l.score, 0) * (y.i * 16 + x.i)), 4) AS placed
 FROM (SELECT DISTINCT slide, fov_y, fov_x FROM last) f CROSS JOIN range(16) y(i) CROSS JOIN range(16) x(i)
-LEFT JOIN last l ON l.slide = f.slide AND l.fov_y = f.fov_y AND l.fov_x = f.fov_x AND l.tile_y = y.i // 2 AND l.tile_x = x.i // 2""",
+LEFT JOIN last l ON l.slide = f.slide AND l.fov_y = f.fov_y AND l.fov_x = f.fov_x AND l.tile_y = y.i // 2 AND l.tile_x = x.i // 2 GROUP BY ALL""",
     "tiles last",
 )
 def tile_grid_scaled(spark, d):
-    return grid.dense_scores(_last(spark, d), 8, 8, scale=2)
+    """The grid with each cell twice along both axes, as sums by FOV that tell the cells' places."""
+    cells = grid.dense_scores(_last(spark, d), 8, 8, scale=2)
+    placed = F.sum(F.col("score") * (F.col("tile_y") * 16 + F.col("tile_x")))
+    return cells.groupBy("slide", "fov_y", "fov_x").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("score"), 4).alias("total"), F.round(placed, 4).alias("placed"))
 
 
 @query("SELECT pos, CAST(3 + pixel_y // 256 * 250 AS INTEGER) AS y, CAST(3 + pixel_x // 256 * 250 AS INTEGER) AS x FROM tiles", "tiles")
