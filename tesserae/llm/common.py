@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +32,18 @@ def arrow_rows(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
         spark.conf.set(key, str(rows))
 
 
+def tidy(spark: SparkSession) -> None:
+    """Gives memory that earlier jobs no longer need back: the driver's Python and JVM heaps, and, as the JVM's
+    collection lets Spark's cleaner go on, the shuffles and broadcasts of those jobs. For loops of many jobs."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+    spark._jvm.System.gc()
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors and the driver see: ``spark.checkpoint.dir``.
 

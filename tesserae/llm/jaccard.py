@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, materialize, sized
+from .common import arrow_rows, materialize, sized, tidy
 from .graph import connected_components
 from .simhash import SEED, TABLES, keep_one, prints_of, shingle_hashes, similar_links, with_components
 
@@ -109,6 +109,7 @@ def shingle_sets(docs: DataFrame, width: int, similarity: float) -> DataFrame:
     spark, (p, q) = docs.sparkSession, ratio(similarity)
     arrow_rows(spark)
     often = spark.sparkContext.broadcast(_often(docs, width))
+    tidy(spark)
 
     @F.pandas_udf("fp long, n long, prefix array<long>, bits binary, fps array<long>")
     def sets(texts: pd.Series) -> pd.DataFrame:
@@ -139,6 +140,7 @@ def similar_sets(docs: DataFrame, sets: DataFrame, width: int, similarity: float
     rows = materialize(flat.join(shared, "token", "left_semi"), "near-shared")
     last = False
     while True:
+        tidy(docs.sparkSession)
         tied = rows.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
         groups = tied.groupBy("token", "root").agg(F.count(F.lit(1)).alias("k"))
         most = groups.groupBy("token").agg(F.max(F.struct("k", "root")).alias("most"), F.sum("k").alias("all")).where(col("most.k") < col("all"))
@@ -264,13 +266,14 @@ def similar_dedup(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> D
 
 def _verified(pairs: DataFrame, docs: DataFrame, names: DataFrame, width: int, p: int, q: int) -> DataFrame:
     """The pairs (a, b) of sets (fp) that are similar by the shingles of a text of each."""
+    tidy(docs.sparkSession)
 
     @F.pandas_udf("boolean")
     def near(x: pd.Series, y: pd.Series) -> pd.Series:
         return pd.Series([is_similar(shingles_of(s, width), shingles_of(t, width), p, q) for s, t in zip(x, y)], dtype=bool)
 
     used = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()
-    used = materialize(names.join(sized(materialize(used, "near-used"), 16), "fp").groupBy("fp").agg(F.min("text_hash").alias("text_hash")), "near-names")
+    used = materialize(names.join(used, "fp").groupBy("fp").agg(F.min("text_hash").alias("text_hash")), "near-names")
     texts = docs.select("text", F.xxhash64("text").alias("text_hash")).join(sized(used, 24), "text_hash")
     texts = materialize(texts.dropDuplicates(["fp"]).select("fp", "text"), "near-texts")
     both = pairs.join(texts.toDF("a", "x"), "a").join(texts.toDF("b", "y"), "b")

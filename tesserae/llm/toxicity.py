@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, materialize, sized
+from .common import arrow_rows, materialize, sized, tidy
 
 LENGTHS = (3, 4, 5, 6)
 PER_CLASS, VOCABULARY, LEAST_DF = 2500, 20_000, 4
@@ -212,6 +212,8 @@ def fit(docs: DataFrame, labels: DataFrame, lengths: tuple[int, ...] = LENGTHS,
     matrix = sample.mapInPandas(rows, "label int, at binary").toPandas()
     x = [np.frombuffer(b, np.int32) for b in matrix["at"]]
     weights, bias = _logistic(x, matrix["label"].to_numpy(float), ratio, l2)
+    del x, matrix
+    tidy(spark)
     return Model(hashes, weights, bias, lengths)
 
 
