@@ -32,15 +32,20 @@ def arrow_rows(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
         spark.conf.set(key, str(rows))
 
 
-def tidy(spark: SparkSession) -> None:
-    """Gives memory that earlier jobs no longer need back: the driver's Python and JVM heaps, and, as the JVM's
-    collection lets Spark's cleaner go on, the shuffles and broadcasts of those jobs. For loops of many jobs."""
-    gc.collect()
+def trim() -> None:
+    """Gives memory that this Python process has freed back to the system; workers live on for other stages."""
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
     except (AttributeError, OSError):  # another C library
         pass
+
+
+def tidy(spark: SparkSession) -> None:
+    """Gives memory that earlier jobs no longer need back: the driver's Python and JVM heaps, and, as the JVM's
+    collection lets Spark's cleaner go on, the shuffles and broadcasts of those jobs. For loops of many jobs."""
+    gc.collect()
+    trim()
     spark._jvm.System.gc()
 
 

@@ -39,7 +39,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, materialize, scratch
+from .common import arrow_rows, materialize, scratch, trim
 from .warc_zip import filesystem
 
 END_ID = 1
@@ -302,6 +302,7 @@ def write_store(docs: DataFrame, tokenizer_path: str, path: str | None = None, e
             ]
             yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in kinds.split(", ")])
         raw.close()
+        trim()
 
     raw = materialize(docs.select(F.col("doc_id").cast("string"), "text").mapInArrow(cut, kinds), "store-raw")
     _write_recipes(raw, path)

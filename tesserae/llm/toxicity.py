@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, materialize, sized, tidy
+from .common import arrow_rows, materialize, sized, tidy, trim
 
 LENGTHS = (3, 4, 5, 6)
 PER_CLASS, VOCABULARY, LEAST_DF = 2500, 20_000, 4
@@ -192,6 +192,8 @@ def fit(docs: DataFrame, labels: DataFrame, lengths: tuple[int, ...] = LENGTHS,
         for k in range(0, len(h), 1 << 16):
             cut = slice(k, k + (1 << 16))
             yield pd.DataFrame({"h": h[cut].view(np.int64), "p": p[cut], "q": q[cut]})
+        del h, p, q
+        trim()
 
     p, q = F.col("p").cast("double"), F.col("q").cast("double")
     chi = F.pow(p * neg - q * pos, 2) / ((p + q) * (pos + neg - p - q + 1))
