@@ -30,19 +30,23 @@ def bound_batches(spark: SparkSession) -> None:
 
 
 def demosaic(raw: np.ndarray) -> np.ndarray:
-    """Bilinear RGB of a GR Bayer mosaic (even rows G R, odd rows B G); edges mirror."""
-    h, w = raw.shape
+    """Bilinear RGB of GR Bayer mosaics (..., h, w) (even rows G R, odd rows B G); edges mirror. Sums of at most 16
+    bytes are whole 16-bit numbers, so means are rounded down exactly."""
+    h, w = raw.shape[-2:]
     y, x = np.indices((h, w))
     red, blue = (y % 2 == 0) & (x % 2 == 1), (y % 2 == 1) & (x % 2 == 0)
-    kernel = {0: np.array([[1, 2, 1], [2, 4, 2], [1, 2, 1]], float), 1: np.array([[0, 1, 0], [1, 4, 1], [0, 1, 0]], float)}
-    out = np.empty((h, w, 3), np.uint8)
+    out = np.empty((*raw.shape, 3), np.uint8)
+
+    def around(a: np.ndarray, corners: bool) -> np.ndarray:
+        """Sums of 3 x 3 pixels: 4 times the middle, twice the sides and once the corners, or once the sides alone."""
+        a = np.pad(a.astype(np.uint16), [(0, 0)] * (a.ndim - 2) + [(1, 1)] * 2, "reflect")
+        if corners:
+            a = a[..., :-2, :] + 2 * a[..., 1:-1, :] + a[..., 2:, :]
+            return a[..., :-2] + 2 * a[..., 1:-1] + a[..., 2:]
+        return a[..., :-2, 1:-1] + a[..., 2:, 1:-1] + a[..., 1:-1, :-2] + a[..., 1:-1, 2:] + 4 * a[..., 1:-1, 1:-1]
+
     for c, where in enumerate((red, ~(red | blue), blue)):
-        value = np.pad(np.where(where, raw, 0).astype(float), 1, "reflect")
-        weight = np.pad(where.astype(float), 1, "reflect")
-        k = kernel[c % 2]
-        total = sum(k[i, j] * value[i : i + h, j : j + w] for i in range(3) for j in range(3))
-        norm = sum(k[i, j] * weight[i : i + h, j : j + w] for i in range(3) for j in range(3))
-        out[..., c] = np.clip(total / np.maximum(norm, 1e-12) + 1e-6, 0, 255)
+        out[..., c] = around(raw * where, c != 1) // np.maximum(around(where, c != 1), 1)
     return out
 
 

@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +17,9 @@ from ..operators import grid, overlap, rank
 
 FOV_KEY = ["slide", "fov_y", "fov_x"]
 
+#: Pixels of FOVs that are demosaiced at once, one FOV at least; bytes of patches after which they are passed on.
+BLOCK_PX, PASS_BYTES = 1 << 20, 16 << 20
+
 
 def _interior(scans: DataFrame, y_border: int, x_border: int, shape: tuple[int, int] | None) -> DataFrame:
     """FOVs inside the border ring. With a known shape the bounds reach the scan; else each slide's own is looked up
@@ -66,27 +70,49 @@ def kept_tiles(scans: DataFrame, tile: int = 256, pixel_border: int = 0, masks:
 
 
 def cut_patches(annotations: DataFrame, scans: DataFrame, size: int = 256) -> DataFrame:
-    """Annotated patches with pixels: (filepath, label, h, w, pixels).
+    """Annotated patches with pixels: (filepath, label, h, w, pixels, and the annotation's top_left_px_x, top_left_px_y).
 
     Annotations are in the view turned a quarter clockwise: ``top_left_px_x`` is the row and ``top_left_px_y`` the
     column of the raw FOV, and the cut patch is turned back. Patches that cross the FOV's edge are smaller. Labels
-    other than 0 and 1 are left out. A FOV is demosaiced once; its patches travel as one bounded list."""
+    other than 0 and 1 are left out. A FOV is demosaiced once, small ones of one shape together; patches travel in
+    batches of bounded bytes."""
     bound_batches(scans.sparkSession)
     wanted = annotations.where(F.col("label").isin(0, 1)).withColumn("filepath", patch_name(*map(F.col, ("slide", "fov_r", "fov_c", "patch_r", "patch_c"))))
-    each = F.collect_list(F.struct("filepath", "label", "top_left_px_x", "top_left_px_y")).alias("patches")
+    corner = [F.col(c).cast("int").alias(c) for c in ("top_left_px_x", "top_left_px_y")]
+    each = F.collect_list(F.struct("filepath", F.col("label").cast("int").alias("label"), *corner)).alias("patches")
     wanted = wanted.groupBy("slide", F.col("fov_r").alias("fov_y"), F.col("fov_c").alias("fov_x")).agg(each)
-
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for r in pdf.itertuples(index=False):
-                rgb, out = demosaic(np.frombuffer(r.raw, np.uint8).reshape(r.h, r.w)), []
-                for p in r.patches:
-                    y, x = p["top_left_px_x"], p["top_left_px_y"]
-                    patch = np.rot90(rgb[y : y + size, x : x + size])
-                    out.append((p["filepath"], p["label"], *patch.shape[:2], patch.tobytes()))
-                yield pd.DataFrame(out, columns=["filepath", "label", "h", "w", "pixels"])
-
-    return scans.select(*FOV_KEY, "h", "w", "raw").join(wanted, FOV_KEY).mapInPandas(rows, "filepath string, label int, h int, w int, pixels binary")
+    names = ["filepath", "label", "h", "w", "pixels", "top_left_px_x", "top_left_px_y"]
+    schema = pa.schema(list(zip(names, (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int32(), pa.int32()))))
+
+    def blocks(batch: pa.RecordBatch) -> Iterator[tuple[list, np.ndarray]]:
+        """(lists of patches, RGB of their FOVs): consecutive FOVs of one shape."""
+        h, w, raw, patches = (batch.column(k) for k in range(4))
+        shapes, begin = list(zip(h.to_pylist(), w.to_pylist())), 0
+        while begin < len(shapes):
+            (y, x), end = shapes[begin], begin + 1
+            while end < len(shapes) and shapes[end] == (y, x) and (end + 1 - begin) * y * x <= BLOCK_PX:
+                end += 1
+            yield patches.slice(begin, end - begin).to_pylist(), demosaic(np.stack([np.frombuffer(raw[k].as_buffer(), np.uint8).reshape(y, x) for k in range(begin, end)]))
+            begin = end
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out, held = [], 0
+            for lists, rgb in blocks(batch):
+                for fov, patches in zip(rgb, lists):
+                    for p in patches:
+                        y, x = p["top_left_px_x"], p["top_left_px_y"]
+                        patch = np.rot90(fov[y : y + size, x : x + size])
+                        out.append((p["filepath"], p["label"], *patch.shape[:2], patch.tobytes(), y, x))
+                        held += patch.nbytes
+                        if held >= PASS_BYTES:
+                            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), schema.types)], schema=schema)
+                            out, held = [], 0
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), schema.types)], schema=schema)
+
+    kinds = "filepath string, label int, h int, w int, pixels binary, top_left_px_x int, top_left_px_y int"
+    return scans.join(wanted, FOV_KEY).select("h", "w", "raw", "patches").mapInArrow(rows, kinds)
 
 
 def window_scores(scans: DataFrame, model: Callable[[np.ndarray], np.ndarray], tile: int, stride: int, border: int = 0, masks: DataFrame | None = None, batch: int = 64) -> DataFrame:

@@ -442,10 +442,9 @@ def min_max_normalise(spark, d):
 
 
 def _native(rgb):
-    """Native values of an RGB image whose first pixel is a green one of a red row."""
-    y, x = np.indices(rgb.shape[:2])
-    channel = np.where(y % 2 == x % 2, 1, np.where(y % 2 == 0, 0, 2))
-    return np.take_along_axis(rgb, channel[..., None], 2)[..., 0].astype(np.int64)
+    """Native values of RGB images (..., h, w, 3) whose first pixel is a green one of a red row."""
+    y, x = np.indices(rgb.shape[-3:-1])
+    return np.where(y % 2 == x % 2, rgb[..., 1], np.where(y % 2 == 0, rgb[..., 0], rgb[..., 2])).astype(np.int64)
 
 
 def _green(windows):
@@ -479,23 +478,20 @@ FROM p JOIN raw r ON r.k = p.k AND r.y BETWEEN y0 AND y0 + ph - 1 AND r.x BETWEE
     "fovs raw",
 )
 def cut_patches(spark, d):
-    a = views.annotations(spark, d)
-    cut = pixels.cut_patches(a, views.scans(spark, d), 8)
-    at = extract_patches(a).select("filepath", F.col("top_left_px_x").alias("y0"), F.col("top_left_px_y").alias("x0"))
+    cut = pixels.cut_patches(views.annotations(spark, d), views.scans(spark, d), 8)
 
     @F.pandas_udf("long")
     def digest(h: pd.Series, w: pd.Series, y0: pd.Series, x0: pd.Series, data: pd.Series) -> pd.Series:
-        out = []
-        for a, b, y, x, p in zip(h, w, y0, x0, data):
-            turned = np.rot90(np.frombuffer(p, np.uint8).reshape(a, b, 3), -1)
-            whole = np.zeros((18, 18, 3), np.uint8)
-            whole[y : y + b, x : x + a] = turned
-            native = np.rot90(_native(whole)[y : y + b, x : x + a])
-            i, j = np.indices(native.shape)
-            out.append(int((native * (i * 31 + j)).sum()))
-        return pd.Series(out, dtype="int64")
-
-    return cut.join(at, "filepath").select("filepath", "label", "h", "w", digest("h", "w", "y0", "x0", "pixels").alias("digest"))
+        out, kinds = np.zeros(len(h), np.int64), [h, w, y0 % 2, x0 % 2]
+        for (a, b, y, x), at in pd.DataFrame(dict(enumerate(kinds))).groupby([0, 1, 2, 3]).indices.items():
+            turned = np.rot90(np.frombuffer(b"".join(data.iloc[at]), np.uint8).reshape(-1, a, b, 3), -1, (1, 2))
+            # rows and columns in front, so that it begins at a green pixel of a red row
+            native = np.rot90(_native(np.pad(turned, ((0, 0), (y, 0), (x, 0), (0, 0))))[:, y:, x:], 1, (1, 2))
+            i, j = np.indices((a, b))
+            out[at] = (native * (i * 31 + j)).sum((1, 2))
+        return pd.Series(out)
+
+    return cut.select("filepath", "label", "h", "w", digest("h", "w", "top_left_px_x", "top_left_px_y", "pixels").alias("digest"))
 
 
 @query(

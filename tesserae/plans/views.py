@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,10 +74,15 @@ def _fovs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """FOVs of raw mosaics; every part is one."""
-    k, s = F.col("k"), F.col("s")
-    raw = _pixels(lambda y, x: (k * 7 + y * 13 + x * 29 + y * x + s) % 256)
-    return _fovs(spark, sf_dir).select("slide", "fov_y", "fov_x", F.lit(FOV_PX).alias("h"), F.lit(FOV_PX).alias("w"), raw.alias("raw"))
+    """FOVs of raw mosaics; every part is one. Pixel (y, x) is (k * 7 + y * 13 + x * 29 + y * x + s) % 256, so a FOV's bytes
+    are those of one of 256 offsets, and are looked up. The keys are dealt out first: a file of parts is a few tasks, but
+    its pixels are much larger."""
+    at = np.arange(FOV_PX)
+    place = at[:, None] * 13 + at * 29 + at[:, None] * at
+    raw = F.array(*[F.lit(((place + v) % 256).astype(np.uint8).tobytes()) for v in range(256)])
+    offset = ((F.col("k") * 7 + F.col("s")) % 256).cast("int")
+    rows = _fovs(spark, sf_dir).repartition(spark.sparkContext.defaultParallelism, "slide", "fov_y", "fov_x")
+    return rows.select("slide", "fov_y", "fov_x", F.lit(FOV_PX).alias("h"), F.lit(FOV_PX).alias("w"), F.element_at(raw, offset + 1).alias("raw"))
 
 
 def masks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ from tesserae import functions as fn
 from tesserae import plans, sources, streaming
 from tesserae.functions import image
 from tesserae.operators import grid, lookup, mask, overlap, rank, split, stats
-from tesserae.plans import pixels, training
+from tesserae.plans import pixels, training, views
 from tesserae.plans.queries import ORACLES, QUERIES
 from tesserae.schema import TILES
 from tesserae.sources import scan, sinks
@@ -289,6 +289,36 @@ def test_patches_to_files(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/table").count() == 3
 
 
+def test_patches_of_many_fovs(spark):
+    """FOVs of one shape are demosaiced together, others apart; many patches of a FOV pass in several batches."""
+    rng = np.random.default_rng(5)
+    shapes = [(12, 16)] * 40 + [(9, 7), (12, 16), (7, 9)] * 5 + [(300, 280)]
+    arrays = {("s", 0, k): rng.integers(0, 256, shape, dtype=np.uint8) for k, shape in enumerate(shapes)}
+    same = np.stack([arrays["s", 0, k] for k in range(40)])
+    assert np.array_equal(image.demosaic(same), np.stack([image.demosaic(a) for a in same]))
+    rows = [("s", 0, k, p, 0, (k * 5 + p) % 7, (k * 3 + p * 2) % 7, p % 3) for k in range(len(shapes)) for p in range(150 if shapes[k][0] == 300 else 3)]
+    notes = spark.createDataFrame(rows, "slide string, fov_r int, fov_c int, patch_r int, patch_c int, top_left_px_x int, top_left_px_y int, label int")
+    got = {r.filepath: r for r in pixels.cut_patches(notes, fovs_of(spark, arrays).coalesce(1)).collect()}
+    wanted = [r for r in rows if r[-1] < 2]
+    assert len(got) == len(wanted) and sum(len(r.pixels) for r in got.values()) > pixels.PASS_BYTES
+    rgb = {k: image.demosaic(a) for k, a in arrays.items()}
+    for s, fr, fc, pr, pc, y, x, label in wanted:
+        r, want = got[f"{s}__fovr{fr}-fovc{fc}__pr{pr}-pc{pc}.jpg"], np.rot90(rgb[s, fr, fc][y : y + 256, x : x + 256])
+        assert (r.label, r.h, r.w, r.top_left_px_x, r.top_left_px_y) == (label, *want.shape[:2], y, x) and bytes(r.pixels) == want.tobytes()
+
+
+def test_derived_fovs_are_dealt_out(spark, sf):
+    """The pixels of a small file of parts are made by all cores, one FOV per part, byte by byte as the formula says."""
+    scans = views.scans(spark, sf)
+    assert scans.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    got = {(r.slide, r.fov_y, r.fov_x): np.frombuffer(r.raw, np.uint8).reshape(r.h, r.w) for r in scans.collect()}
+    parts = sources.tables(spark, sf, "part").select("p_partkey", "p_size").collect()
+    y, x = np.indices((views.FOV_PX, views.FOV_PX))
+    assert len(got) == len(parts)
+    for k, s in parts:
+        assert np.array_equal(got[f"p{k // 100}", k % 100 // 10, k % 10], (k * 7 + y * 13 + x * 29 + y * x + s) % 256)
+
+
 def test_window_scores_and_mosaic(spark):
     rng = np.random.default_rng(3)
     arrays = {("s", y, x): rng.integers(1, 256, (9, 11), dtype=np.uint8) for y in range(2) for x in range(2) if (y, x) != (1, 0)}
